@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ def closed_rule(pred: Column, is_open: Column) -> Column:
     return F.when(is_open == 0, F.lit(0.0)).otherwise(F.coalesce(pred.cast("double"), F.lit(0.0)))
 
 
+def money(pred: Column, multiplier: float = 1.0) -> Column:
+    """A forecast times a multiplier, rounded half up to two decimals in decimal arithmetic."""
+    exact = pred.cast("decimal(18,4)") * F.lit(Decimal(str(multiplier)))
+    return F.round(exact, 2).cast("double")
+
+
 def scored(actual: Column, is_open: Column | None) -> Column:
     """The rows a forecast is judged on: open days, or days with sales if that is all we know."""
     return actual > 0 if is_open is None else is_open == 1

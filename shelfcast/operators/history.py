@@ -22,7 +22,11 @@ def with_halo(df: DataFrame, span: int, back: int, ahead: int = 0) -> DataFrame:
     whose last day looks ahead to it. Frames evaluated per (Store, chunk) are then
     exact for home rows, and a group never holds more than ``span + back + ahead``
     days, however long or hot a store is.
+
+    Frames cost time per row, not per byte, so the exchange asks for all shuffle
+    partitions: coalescing it by size would leave cores idle.
     """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     day = day_number(F.col("Date"))
     first = F.floor((day - ahead) / F.lit(span))
     last = F.floor((day + back) / F.lit(span))
@@ -30,6 +34,7 @@ def with_halo(df: DataFrame, span: int, back: int, ahead: int = 0) -> DataFrame:
         df.withColumn(DAY, day)
         .withColumn(CHUNK, F.explode(F.sequence(first, last)))
         .withColumn(HOME, F.col(CHUNK) == F.floor(F.col(DAY) / F.lit(span)))
+        .repartition(partitions, "Store", CHUNK)
     )
 
 
@@ -65,11 +70,18 @@ def promo_edges() -> dict[str, Column]:
     }
 
 
-def sales_windows(spec: PanelSpec, sales: str = "_sold", prefix: str = "") -> dict[str, Column]:
+def _middle(ordered: Column) -> Column:
+    """Median of a sorted array that is not empty."""
+    low = F.floor((F.size(ordered) - 1) / F.lit(2)).cast("int")
+    high = F.floor(F.size(ordered) / F.lit(2)).cast("int")
+    return (F.get(ordered, low) + F.get(ordered, high)) / 2
+
+
+def sales_windows(spec: PanelSpec, sales: str = "_sold") -> dict[str, Column]:
     """Lags and rolling statistics of trading-day sales, all at least a horizon old."""
     columns = {}
     for lag in sorted({*spec.lags, *spec.weekday_lags}):
-        columns[f"{prefix}lag_{lag}"] = _on_day(sales, lag)
+        columns[f"lag_{lag}"] = _on_day(sales, lag)
 
     def guarded(window: int, value: Column, counted: str) -> Column:
         frame = _days(spec.horizon + window - 1, spec.horizon)
@@ -77,29 +89,32 @@ def sales_windows(spec: PanelSpec, sales: str = "_sold", prefix: str = "") -> di
         return F.when(enough, value.over(frame))
 
     for window in spec.roll_windows:
-        columns[f"{prefix}roll_mean_{window}"] = guarded(window, F.avg(sales), sales)
-        columns[f"{prefix}roll_std_{window}"] = guarded(window, F.stddev_samp(sales), sales)
+        columns[f"roll_mean_{window}"] = guarded(window, F.avg(sales), sales)
+        columns[f"roll_std_{window}"] = guarded(window, F.stddev_samp(sales), sales)
     level = spec.level_window
-    columns[f"{prefix}roll_median_{level}"] = guarded(level, F.percentile(sales, F.lit(0.5)), sales)
-    columns[f"{prefix}open_rate_{level}"] = guarded(level, F.avg("Open"), "Open")
+    values = F.collect_list(sales).over(_days(spec.horizon + level - 1, spec.horizon))
+    columns[f"roll_median_{level}"] = F.when(
+        F.size(values) >= spec.min_count(level), _middle(F.sort_array(values))
+    )
+    columns[f"open_rate_{level}"] = guarded(level, F.avg("Open"), "Open")
     return columns
 
 
-def sales_ratios(spec: PanelSpec, prefix: str = "") -> dict[str, Column]:
+def sales_ratios(spec: PanelSpec) -> dict[str, Column]:
     """Trend and weekday level; the latter averages lags that are already columns."""
-    lags = [F.col(f"{prefix}lag_{lag}") for lag in spec.weekday_lags]
+    lags = [F.col(f"lag_{lag}") for lag in spec.weekday_lags]
     known = F.lit(0)
     total = F.lit(0)
     for lag in lags:
         known = known + F.isnotnull(lag).cast("int")
         total = total + F.coalesce(lag, F.lit(0))
     weekday = F.when(known >= 2, total / known)
-    level = F.col(f"{prefix}roll_mean_{spec.level_window}")
-    trend = F.col(f"{prefix}roll_mean_{spec.trend_window}")
+    level = F.col(f"roll_mean_{spec.level_window}")
+    trend = F.col(f"roll_mean_{spec.trend_window}")
     return {
-        f"{prefix}trend_{spec.level_window}_over_{spec.trend_window}": F.try_divide(level, trend),
-        f"{prefix}dow_mean_{spec.weekday_weeks}": weekday,
-        f"{prefix}dow_ratio": F.try_divide(weekday, level),
+        f"trend_{spec.level_window}_over_{spec.trend_window}": F.try_divide(level, trend),
+        f"dow_mean_{spec.weekday_weeks}": weekday,
+        f"dow_ratio": F.try_divide(weekday, level),
     }
 
 

@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.functions.targets import closed_rule, from_log, to_log
+from shelfcast.functions.targets import closed_rule, from_log, money, to_log
 from shelfcast.operators.panel import in_split, trading_days
 from shelfcast.operators.scores import METRICS, evaluate, improvement
 from shelfcast.operators.selection import CATEGORICAL, without
@@ -347,14 +347,13 @@ def provenance(spark: SparkSession, path: str, serving: DataFrame) -> DataFrame:
 
 
 def submission(
-    fitted: Fitted, future: DataFrame, serving: DataFrame, multiplier: Column | float = 1.0
+    fitted: Fitted, future: DataFrame, serving: DataFrame, multiplier: float = 1.0
 ) -> DataFrame:
     """(Id, Sales) for the published ids: forecast times multiplier, two decimals."""
     unseen = serving.where(F.isnull("Sales"))
     ids = future.select("Id", F.col("Store").alias("store_key"), "Date")
     rows = fitted.predict(ids.join(unseen, ["store_key", "Date"], "left"))
-    scaled = closed_rule(F.col("pred") * F.lit(multiplier), F.col("Open"))
-    return rows.select("Id", F.round(scaled, 2).alias("Sales"))
+    return rows.select("Id", money(F.col("pred"), multiplier).alias("Sales"))
 
 
 def submission_summary(rows: DataFrame) -> DataFrame:
