@@ -711,7 +711,7 @@ def gbt_scores(spark, sf_dir):
 
 @query
 def gbt_importance(spark, sf_dir):
-    return _chosen(spark, sf_dir).importance(spark, 20)
+    return _chosen(spark, sf_dir).importance(20)
 
 
 @query

@@ -7,7 +7,7 @@ import math
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,7 +151,6 @@ def make_design(
 class Fitted:
     design: Design
     model: GBTRegressionModel
-    settings: TreeSettings
     best_round: int
     train_rmse_log: float | None = None
     valid_rmse_log: float | None = None
@@ -162,16 +161,26 @@ class Fitted:
         pred = closed_rule(from_log(F.col("prediction")), F.col("Open"))
         return scored.withColumn(name, pred).drop("features", "prediction")
 
-    def importance(self, spark: SparkSession, top: int | None = None) -> DataFrame:
-        """Share of the total gain per feature, in percent, the largest first."""
-        gains = self.model.featureImportances.toArray()
-        total = float(gains.sum()) or 1.0
-        rows = [(c, float(g) / total * 100) for c, g in zip(self.design.columns, gains)]
-        table = spark.createDataFrame(rows, "feature string, gain_pct double")
-        table = table.orderBy(F.desc("gain_pct"), "feature")
+    def importance(self, top: int | None = None) -> DataFrame:
+        table = importance(self.design.levels.sparkSession, self.model, self.design.columns)
         return table if top is None else table.limit(top)
 
 
+def importance(spark: SparkSession, model: GBTRegressionModel, columns: list[str]) -> DataFrame:
+    """Share of the total gain per feature, in percent, the largest first.
+
+    A feature and its missing-value flag count as one.
+    """
+    gains: dict[str, float] = {}
+    for column, gain in zip(columns, model.featureImportances.toArray()):
+        name = column.removesuffix("_missing") if column.removesuffix("_missing") in columns else column
+        gains[name] = gains.get(name, 0.0) + float(gain)
+    total = sum(gains.values()) or 1.0
+    rows = [(name, gain / total * 100) for name, gain in gains.items()]
+    table = spark.createDataFrame(rows, "feature string, gain_pct double")
+    return table.orderBy(F.desc("gain_pct"), "feature")
+
+
 def _trees(settings: TreeSettings, rounds: int) -> GBTRegressor:
     return GBTRegressor(
         labelCol="label",
@@ -193,6 +202,20 @@ def _labelled(design: Design, rows: DataFrame) -> DataFrame:
     return design.vectors(labelled, "label").persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _tune(settings: TreeSettings, train: DataFrame, valid: DataFrame) -> tuple:
+    """Grow all rounds, find the best on ``valid``, and keep just those.
+
+    Returns the model, its rounds and its log errors on train and valid.
+    """
+    model = _trees(settings, settings.rounds).fit(train)
+    errors = model.evaluateEachIteration(valid, "squared")
+    best = min(range(len(errors)), key=errors.__getitem__)
+    if best + 1 < len(errors):
+        model = _trees(settings, best + 1).fit(train)
+    on_train = model.evaluateEachIteration(train, "squared")[best]
+    return model, best + 1, math.sqrt(on_train), math.sqrt(errors[best])
+
+
 def fit(
     train: DataFrame,
     features: list[str],
@@ -210,19 +233,14 @@ def fit(
     design = make_design(train, features, vocabulary, settings)
     rows = _labelled(design, train)
     try:
-        model = _trees(settings, rounds or settings.rounds).fit(rows)
         if valid is None:
-            return Fitted(design, model, settings, model.getNumTrees)
+            grown = rounds or settings.rounds
+            return Fitted(design, _trees(settings, grown).fit(rows), grown)
         held_out = _labelled(design, valid)
         try:
-            errors = model.evaluateEachIteration(held_out, "squared")
-            best = min(range(len(errors)), key=errors.__getitem__)
-            if best + 1 < len(errors):
-                model = _trees(settings, best + 1).fit(rows)
-            on_train = model.evaluateEachIteration(rows, "squared")[best]
+            return Fitted(design, *_tune(settings, rows, held_out))
         finally:
             held_out.unpersist()
-        return Fitted(design, model, settings, best + 1, math.sqrt(on_train), math.sqrt(errors[best]))
     finally:
         rows.unpersist()
 
@@ -258,28 +276,60 @@ def run_experiments(
 ) -> list[str]:
     """Fit each variant, score it on valid and append it to the run tables.
 
+    Train and valid become vectors once; a variant that drops features slices them.
     ``baseline`` is the score row that improvements are measured against. The driver
     handles one row of scores per variant; fitting and scoring are Spark jobs.
     """
     spark = table.sparkSession
     base = baseline.select(*METRICS).first()
+    train, valid = trading_days(in_split(table, "train")), in_split(table, "valid")
+    design = make_design(train, names, vocabulary, settings)
+    label = to_log(F.col("Sales"))
+    level = StorageLevel.MEMORY_AND_DISK
+    train_rows = design.vectors(train.withColumn("label", label), "label").persist(level)
+    valid_rows = design.vectors(valid.withColumn("label", label), "label", "Sales", "Open").persist(level)
+    window = trading_days(valid).agg(F.min("Date").alias("a"), F.max("Date").alias("b")).first()
+    n_train = train_rows.count()
     runs = []
-    for name in only or list(VARIANTS):
-        fitted = fit_variant(table, names, vocabulary, name, settings)
-        score = split_scores(fitted, table, name, spec).first()
-        metrics = {"best_iteration": fitted.best_round}
-        metrics |= {"train_rmse_log": fitted.train_rmse_log, "valid_rmse_log": fitted.valid_rmse_log}
-        for m in METRICS:
-            metrics[f"valid_{m}"] = score[m]
-            metrics[f"improvement_{m}_pct"] = (1 - score[m] / base[m]) * 100
-        chosen = VARIANTS[name]
-        params = vars(chosen.settings(settings)) | {
-            "n_features": len(fitted.design.features),
-            "dropped": ",".join(chosen.dropped) or "none",
-        }
-        gains = [(r["feature"], r["gain_pct"]) for r in fitted.importance(spark).collect()]
-        tags = {"rationale": chosen.rationale, "target_transform": "log1p", "scored_on": "open days only"}
-        runs.append(append_run(spark, root, name, params, metrics, tags, gains))
+    try:
+        for name in only or list(VARIANTS):
+            chosen = VARIANTS[name]
+            own = chosen.settings(settings)
+            kept = set(without(names, chosen.dropped))
+            columns = [c for c in design.columns if c.removesuffix("_missing") in kept or c in kept]
+            slicer = VectorSlicer(
+                inputCol="all", outputCol="features", indices=[design.columns.index(c) for c in columns]
+            )
+            on_train = slicer.transform(train_rows.withColumnRenamed("features", "all")).drop("all")
+            on_valid = slicer.transform(valid_rows.withColumnRenamed("features", "all")).drop("all")
+            trees, rounds, train_error, valid_error = _tune(own, on_train, trading_days(on_valid))
+            pred = closed_rule(from_log(F.col("prediction")), F.col("Open"))
+            scored = trees.transform(on_valid).select("Sales", "Open", pred.alias("pred"))
+            score = evaluate(scored, (), scale=spec.money_scale).first()
+            metrics = {
+                "best_iteration": rounds,
+                "train_rmse_log": train_error,
+                "valid_rmse_log": valid_error,
+            }
+            for m in METRICS:
+                metrics[f"valid_{m}"] = score[m]
+                metrics[f"improvement_{m}_pct"] = (1 - score[m] / base[m]) * 100
+            params = vars(own) | {
+                "n_features": len(kept),
+                "dropped": ",".join(chosen.dropped) or "none",
+                "train_rows": n_train,
+                "valid_window": f"{window['a']}..{window['b']}",
+            }
+            tags = {
+                "rationale": chosen.rationale,
+                "target_transform": "log1p",
+                "scored_on": "open days only",
+            }
+            gains = [(r["feature"], r["gain_pct"]) for r in importance(spark, trees, columns).collect()]
+            runs.append(append_run(spark, root, name, params, metrics, tags, gains))
+    finally:
+        train_rows.unpersist()
+        valid_rows.unpersist()
     return runs
 
 
@@ -314,7 +364,7 @@ def save_model(fitted: Fitted, path: str, config: str, trained_through: dt.date,
     spark.createDataFrame([meta], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def load_model(spark: SparkSession, path: str, settings: TreeSettings | None = None) -> Fitted:
+def load_model(spark: SparkSession, path: str) -> Fitted:
     meta = spark.read.parquet(f"{path}/meta").first()
     design = Design(
         list(meta["features"]),
@@ -324,7 +374,7 @@ def load_model(spark: SparkSession, path: str, settings: TreeSettings | None = N
         dict(meta["categories"]),
     )
     trees = GBTRegressionModel.load(f"{path}/trees")
-    return Fitted(design, trees, settings or TreeSettings(), meta["num_rounds"])
+    return Fitted(design, trees, meta["num_rounds"])
 
 
 def provenance(spark: SparkSession, path: str, serving: DataFrame) -> DataFrame:
