@@ -399,10 +399,17 @@ def provenance(spark: SparkSession, path: str, serving: DataFrame) -> DataFrame:
 def submission(
     fitted: Fitted, future: DataFrame, serving: DataFrame, multiplier: float = 1.0
 ) -> DataFrame:
-    """(Id, Sales) for the published ids: forecast times multiplier, two decimals."""
-    unseen = serving.where(F.isnull("Sales"))
+    """(Id, Sales) for the published ids: forecast times multiplier, two decimals.
+
+    An id without a serving row fails the job: a submission has every id.
+    """
+    unseen = serving.where(F.isnull("Sales")).withColumn("_served", F.lit(True))
     ids = future.select("Id", F.col("Store").alias("store_key"), "Date")
-    rows = fitted.predict(ids.join(unseen, ["store_key", "Date"], "left"))
+    missing = F.raise_error(F.concat(F.lit("no features for id "), F.col("Id").cast("string")))
+    rows = ids.join(unseen, ["store_key", "Date"], "left").withColumn(
+        "Open", F.when(F.col("_served"), F.col("Open")).otherwise(missing.cast("int"))
+    )
+    rows = fitted.predict(rows.where(F.isnotnull("Open")).drop("_served"))
     return rows.select("Id", money(F.col("pred"), multiplier).alias("Sales"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast.operators.scores import METRICS
@@ -84,25 +84,29 @@ def noise_floor(values: DataFrame, seeds: list[str]) -> DataFrame:
     )
 
 
+def _over_runs(value: Column, keep: Column, measure=F.max) -> Column:
+    """An aggregate over the kept runs, beside every run; a run is one row."""
+    return measure(F.when(keep, value)).over(Window.partitionBy())
+
+
 def against_noise(values: DataFrame, seeds: list[str], variants: list[str]) -> DataFrame:
     """Each variant's value and whether it lies inside the band of the seed runs."""
-    floor = noise_floor(values, seeds)
-    low, high = floor.select("min").scalar(), floor.select("max").scalar()
+    value, seeded = F.col("value"), F.col("name").isin(seeds)
+    low, high = _over_runs(value, seeded, F.min), _over_runs(value, seeded, F.max)
     return (
-        values.where(F.col("name").isin(variants))
-        .select("name", "value", F.col("value").between(low, high).alias("inside_band"))
+        values.select("name", "value", value.between(low, high).alias("inside_band"))
+        .where(F.col("name").isin(variants))
         .orderBy("value", "name")
     )
 
 
 def ablation_table(scores: DataFrame, baseline: str, reference: str = "full") -> DataFrame:
     """Scores per variant, the change against ``reference`` and the gain over the baseline."""
-    def mape_of(label: str):
-        return scores.where(F.col("label") == label).agg(F.max("mape").alias("m")).scalar()
-
-    return scores.where(F.col("label") != baseline).select(
-        F.col("label").alias("name"),
+    mape, label = F.col("mape"), F.col("label")
+    full, base = _over_runs(mape, label == reference), _over_runs(mape, label == baseline)
+    return scores.select(
+        label.alias("name"),
         *METRICS,
-        (F.col("mape") - mape_of(reference)).alias("mape_vs_full"),
-        ((1 - F.try_divide(F.col("mape"), mape_of(baseline))) * 100).alias("improve_vs_baseline_pct"),
-    )
+        (mape - full).alias("mape_vs_full"),
+        ((1 - F.try_divide(mape, base)) * 100).alias("improve_vs_baseline_pct"),
+    ).where(F.col("name") != baseline)
