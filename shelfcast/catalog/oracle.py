@@ -584,7 +584,7 @@ def _check_queries() -> dict[str, str]:
         )
 
     corr = unpivot(
-        "(SELECT * FROM a WHERE split = 'valid')", [(c, f"CORR(Sales, {c})") for c in SALES_FEATURES],
+        "(SELECT * FROM a WHERE split = 'valid')", [(c, f"CASE WHEN NOT ISNAN(CORR(Sales, {c})) THEN CORR(Sales, {c}) END") for c in SALES_FEATURES],
         "feature", "c",
     )
     week_ago = """{n} AS (SELECT p.*, CAST(q.Sales AS DOUBLE) AS week_ago FROM {t} p

@@ -53,11 +53,20 @@ def leakage_report(
     )
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    """Pearson's coefficient over pairs without NULL; NULL if either side is constant.
+
+    The built-in ``corr`` fails on a constant side in ANSI mode.
+    """
+    x, y = F.when(F.isnotnull(y), x), F.when(F.isnotnull(x), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def target_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlation of each column with same-day sales; near 1 the target leaked in."""
     sales = F.col("Sales").cast("double")
     pairs = [
-        F.struct(F.lit(c).alias("feature"), F.corr(sales, F.col(c).cast("double")).alias("corr"))
+        F.struct(F.lit(c).alias("feature"), _correlation(sales, F.col(c).cast("double")).alias("corr"))
         for c in columns
     ]
     return (
