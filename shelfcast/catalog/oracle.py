@@ -546,6 +546,7 @@ def _encoding_queries() -> dict[str, str]:
     )
     return {
         "vocabulary": sql(both, body="SELECT * FROM v"),
+        "vocabulary_file": sql(both, body="SELECT * FROM v"),
         "encoded": sql(both, body=encoded("v")),
         "encoded_with_unseen": sql(both, body=encoded("fv")),
         "vocabulary_outside": sql(both, body=outside),
@@ -730,6 +731,10 @@ def _serving_queries() -> dict[str, str]:
               ROUND(roll_median_28, 4) AS roll_median_28, ROUND(open_rate_28, 6) AS open_rate_28,
               ROUND(dow_mean_4, 4) AS dow_mean_4 FROM serving""",
         ),
+        "serving_file": sql(
+            *serving, body="SELECT store_key, Date, Open, Sales, ROUND(dow_ratio, 6) AS dow_ratio FROM serving"
+        ),
+        "submission_file": sql(submission, body="SELECT Id, printf('%.2f', Sales) AS Sales FROM submission"),
         "serving_summary": sql(
             light,
             body="""SELECT COUNT(*) AS rows, COUNT(DISTINCT store_key) AS stores, COUNT(Sales) AS known,
@@ -809,6 +814,29 @@ def _serving_queries() -> dict[str, str]:
     }
 
 
+def _file_queries() -> dict[str, str]:
+    return {
+        "facts_from_csv": sql(body="SELECT * FROM daily"),
+        "stores_from_csv": sql(body="SELECT * FROM stores"),
+        "future_from_csv": sql(body="SELECT * FROM calendar"),
+        "feature_file": sql(
+            PANEL,
+            promo_features("panel", "pf"),
+            body="""SELECT split, promo_count_14d, COUNT(*) AS rows FROM pf WHERE NOT is_gap GROUP BY 1, 2""",
+        ),
+        "training_rows": sql(
+            body=f"""SELECT Store, Date, {split()} AS split, ROUND(LN(1 + Sales), 6) AS label
+              FROM daily WHERE Open = 1 AND Date < {TEST}"""
+        ),
+        "store_levels": sql(
+            f"""t AS (SELECT Store, LN(1 + Sales) AS y FROM daily WHERE Open = 1 AND Date < {VALID}),
+            o AS (SELECT AVG(y) AS m FROM t)""",
+            body="""SELECT Store, ROUND((SUM(y) + 10 * MAX(m)) / (COUNT(*) + 10), 6) AS level
+              FROM t, o GROUP BY 1 UNION ALL SELECT NULL, ROUND(m, 6) FROM o""",
+        ),
+    }
+
+
 TERMS = (0, 1, 2, 7, 8, 9)
 
 
@@ -912,6 +940,7 @@ def _classical_queries() -> dict[str, str]:
 
 def statements() -> dict[str, str]:
     return {
+        **_file_queries(),
         **_panel_queries(),
         **_feature_queries(),
         **_score_queries(),

@@ -18,6 +18,7 @@ from shelfcast.operators import selection as sel
 from shelfcast.operators import vocabulary as vocab
 from shelfcast.plans import classical, evaluation, model, runs, serving
 from shelfcast.plans import features as feats
+from shelfcast.sources import files
 from shelfcast.sources.files import extended_history
 from shelfcast.sources.staging import stage_path
 
@@ -46,6 +47,61 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), n) for c, n in digits.items()})
 
 
+# Files ------------------------------------------------------------------------------
+
+
+def _as_csv(spark: SparkSession, df: DataFrame, name: str) -> str:
+    path = stage_path(spark, name)
+    df.write.option("header", True).csv(path)
+    return path
+
+
+@query
+def facts_from_csv(spark, sf_dir):
+    return files.read_facts(spark, _as_csv(spark, fx.daily(spark, sf_dir), "facts-csv"))
+
+
+@query
+def stores_from_csv(spark, sf_dir):
+    return files.read_stores(spark, _as_csv(spark, fx.stores(spark, sf_dir), "stores-csv"))
+
+
+@query
+def future_from_csv(spark, sf_dir):
+    return files.read_future(spark, _as_csv(spark, fx.future(spark, sf_dir), "future-csv"))
+
+
+@query
+def feature_file(spark, sf_dir):
+    """Two columns of the feature table, which is laid out by split."""
+    path = stage_path(spark, "feature-file")
+    files.feature_table(spark, path, lambda: _feature_table(spark, sf_dir))
+    table = files.read_columns(spark, path, "split", "promo_count_14d")
+    return table.groupBy("split", "promo_count_14d").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def vocabulary_file(spark, sf_dir):
+    path = stage_path(spark, "vocabulary-file")
+    vocab.save_vocabulary(_vocabulary(spark, sf_dir), path)
+    return vocab.load_vocabulary(spark, path)
+
+
+@query
+def serving_file(spark, sf_dir):
+    path = stage_path(spark, "serving-file")
+    files.write_serving_table(_serving(spark, sf_dir), path)
+    table = spark.read.parquet(path).select("store_key", "Date", "Open", "Sales", "dow_ratio")
+    return rounded(table, dow_ratio=6)
+
+
+@query
+def submission_file(spark, sf_dir):
+    path = stage_path(spark, "submission-file")
+    files.write_submission(_median_submission(spark, sf_dir), path)
+    return spark.read.schema("Id long, Sales string").option("header", True).csv(path)
+
+
 # Panel ------------------------------------------------------------------------------
 
 
@@ -701,6 +757,21 @@ def _median_scores(spark, sf_dir) -> DataFrame:
     return table.where(F.col("label") == "weekday_median_4w").withColumn("label", F.lit("baseline"))
 
 
+@query
+def training_rows(spark, sf_dir):
+    """What the trees are grown on: trading days of train and valid with their label."""
+    rows = panel.trading_days(panel.in_split(_feature_table(spark, sf_dir), "train", "valid"))
+    out = rows.select("Store", "Date", "split", to_log(F.col("Sales")).alias("label"))
+    return rounded(out, label=6)
+
+
+@query
+def store_levels(spark, sf_dir):
+    """The number that stands for a store in the trees."""
+    rows = panel.trading_days(panel.in_split(_feature_table(spark, sf_dir), "train"))
+    return rounded(model.store_levels(rows, SETTINGS.level_smoothing), level=6)
+
+
 @query
 def gbt_scores(spark, sf_dir):
     """Model and baseline on both held-out windows."""
@@ -767,6 +838,23 @@ def _served(spark, sf_dir) -> model.Fitted:
     return _fitted[key]
 
 
+@query
+def gbt_skew_report(spark, sf_dir):
+    """The same model over the offline and the serving table, on the days both hold."""
+    served = _served(spark, sf_dir)
+    offline = served.predict(panel.in_split(_feature_table(spark, sf_dir), "test"))
+    return checks.skew_report(offline, served.predict(_serving(spark, sf_dir)), ["pred"])
+
+
+@query
+def gbt_holdout_log(spark, sf_dir):
+    """The held-out scores as a run, read back from the run tables."""
+    root = stage_path(spark, "runs")
+    runs.log_holdout(spark, root, gbt_scores(spark, sf_dir), {"config": model.CHOSEN})
+    logged = runs.read_table(spark, root, "runs"), runs.read_table(spark, root, "run_metrics")
+    return runs.run_values(*logged, "headline_improvement_mape_pct")
+
+
 @query
 def gbt_provenance(spark, sf_dir):
     """What the saved model says about itself, after it was written and read again."""

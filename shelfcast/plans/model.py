@@ -18,6 +18,7 @@ from shelfcast.operators.scores import METRICS, evaluate, improvement
 from shelfcast.operators.selection import CATEGORICAL, without
 from shelfcast.operators.vocabulary import add_codes
 from shelfcast.plans.runs import append_run
+from shelfcast.sources.staging import stage
 from shelfcast.spec import PanelSpec
 
 MISSING = -1.0
@@ -144,7 +145,8 @@ def make_design(
     nulls = train.agg(*[F.max(F.isnull(f)).alias(f) for f in numeric]).first() if numeric else {}
     always = ("lag_", "roll_", "trend_", "open_rate_", "dow_mean", "dow_ratio")
     nullable = [f for f in numeric if nulls[f] or f.startswith(always)]
-    return Design(features, vocabulary, store_levels(train, settings.level_smoothing), nullable, sizes)
+    levels = stage(store_levels(train, settings.level_smoothing), "levels")
+    return Design(features, vocabulary, levels, nullable, sizes)
 
 
 @dataclass

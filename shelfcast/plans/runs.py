@@ -44,6 +44,19 @@ def append_run(
     return run
 
 
+def log_holdout(
+    spark: SparkSession, root: str, scores: DataFrame, params: dict, name: str = "final_test_eval"
+) -> str:
+    """Append the one-time held-out evaluation: a few score rows, one per window and forecast."""
+    metrics = {}
+    for row in scores.collect():
+        for m in METRICS:
+            metrics[f"{row['label']}_{row['split']}_{m}"] = row[m]
+            if (row["label"], row["split"]) == ("model", "test"):
+                metrics[f"headline_improvement_{m}_pct"] = row[f"improvement_{m}_pct"]
+    return append_run(spark, root, name, params, metrics, {"note": "held-out window, scored once"})
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}")
 
