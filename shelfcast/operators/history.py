@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.functions.dates import day_number
 from shelfcast.spec import PanelSpec
@@ -77,26 +78,64 @@ def _middle(ordered: Column) -> Column:
     return (F.get(ordered, low) + F.get(ordered, high)) / 2
 
 
-def sales_windows(spec: PanelSpec, sales: str = "_sold") -> dict[str, Column]:
-    """Lags and rolling statistics of trading-day sales, all at least a horizon old."""
+def running_sums() -> Column:
+    """Counts and sums of trading-day sales and of opening, from a chunk's first row on.
+
+    Sales are whole numbers, so differences of two sums are exact; squares are summed
+    as decimals.
+    """
+    frame = Window.partitionBy("Store", CHUNK).orderBy(DAY).rowsBetween(Window.unboundedPreceding, 0)
+    exact = F.col("_sold").cast("decimal(18,0)")
+    return F.struct(
+        F.count("_sold").over(frame).alias("n"),
+        F.coalesce(F.sum("_sold").over(frame), F.lit(0)).alias("sold"),
+        F.coalesce(F.sum(exact * exact).over(frame), F.lit(0).cast("decimal(38,0)")).alias("squares"),
+        F.count("Open").over(frame).alias("days"),
+        F.coalesce(F.sum("Open").over(frame), F.lit(0)).alias("open"),
+    )
+
+
+def sales_windows(spec: PanelSpec) -> dict[str, Column]:
+    """Lags, the running sums at the edges of each rolling window, and the level's values.
+
+    A rolling window costs two look-ups of a running sum, whatever its length.
+    """
     columns = {}
     for lag in sorted({*spec.lags, *spec.weekday_lags}):
-        columns[f"lag_{lag}"] = _on_day(sales, lag)
+        columns[f"lag_{lag}"] = _on_day("_sold", lag)
+    edges = {0, spec.level_window, *spec.roll_windows}
+    for ago in sorted(spec.horizon + e for e in edges):
+        known = Window.partitionBy("Store", CHUNK).orderBy(DAY)
+        known = known.rangeBetween(Window.unboundedPreceding, -ago)
+        columns[f"_until_{ago}"] = F.last("_run").over(known)
+    level = _days(spec.horizon + spec.level_window - 1, spec.horizon)
+    columns["_level"] = F.collect_list("_sold").over(level)
+    return columns
+
 
-    def guarded(window: int, value: Column, counted: str) -> Column:
-        frame = _days(spec.horizon + window - 1, spec.horizon)
-        enough = F.count(counted).over(frame) >= spec.min_count(window)
-        return F.when(enough, value.over(frame))
+def sales_levels(spec: PanelSpec) -> dict[str, Column]:
+    """Rolling mean, deviation, median and open rate, each with enough days or NULL."""
+    def between(window: int, part: str) -> Column:
+        new = F.col(f"_until_{spec.horizon}.{part}")
+        old = F.col(f"_until_{spec.horizon + window}.{part}")
+        return F.coalesce(new, F.lit(0)) - F.coalesce(old, F.lit(0))
 
+    columns = {}
     for window in spec.roll_windows:
-        columns[f"roll_mean_{window}"] = guarded(window, F.avg(sales), sales)
-        columns[f"roll_std_{window}"] = guarded(window, F.stddev_samp(sales), sales)
+        n, total, squares = (between(window, part) for part in ("n", "sold", "squares"))
+        exact = total.cast("decimal(19,0)")
+        spread = (n.cast("decimal(10,0)") * squares - exact * exact).cast("double")
+        enough = n >= spec.min_count(window)
+        columns[f"roll_mean_{window}"] = F.when(enough, total / n)
+        columns[f"roll_std_{window}"] = F.when(enough, F.sqrt(spread / (n * (n - 1))))
     level = spec.level_window
-    values = F.collect_list(sales).over(_days(spec.horizon + level - 1, spec.horizon))
+    least = spec.min_count(level)
     columns[f"roll_median_{level}"] = F.when(
-        F.size(values) >= spec.min_count(level), _middle(F.sort_array(values))
+        F.size("_level") >= least, _middle(F.sort_array("_level"))
+    )
+    columns[f"open_rate_{level}"] = F.when(
+        between(level, "days") >= least, between(level, "open") / between(level, "days")
     )
-    columns[f"open_rate_{level}"] = guarded(level, F.avg("Open"), "Open")
     return columns
 
 
@@ -170,6 +209,8 @@ def add_history(
     df: DataFrame, spec: PanelSpec, promo: bool = True, sales: bool = True
 ) -> DataFrame:
     """Promotion and sales features of every row: one exchange, one sort."""
+    if not isinstance(df.schema["Sales"].dataType, T.IntegralType):
+        raise TypeError("Sales must be whole numbers; hold fractions as cents")
     sold = F.when(F.col("Open") == 1, F.col("Sales"))
     out = with_halo(
         df.withColumn("_sold", sold), spec.chunk_days, spec.look_back, spec.look_ahead
@@ -178,11 +219,13 @@ def add_history(
     if promo:
         windows |= promo_windows()
     if sales:
+        out = out.withColumn("_run", running_sums())
         windows |= sales_windows(spec)
     out = out.withColumns(windows).where(HOME)
     if promo:
         out = out.withColumns(promo_edges())
     if sales:
-        out = out.withColumns(sales_ratios(spec))
-    extra = [f"lag_{lag}" for lag in spec.weekday_lags if lag not in spec.lags]
-    return out.drop("_sold", CHUNK, DAY, HOME, *extra)
+        out = out.withColumns(sales_levels(spec)).withColumns(sales_ratios(spec))
+    helpers = [c for c in windows if c.startswith("_")]
+    helpers += [f"lag_{lag}" for lag in spec.weekday_lags if lag not in spec.lags]
+    return out.drop("_sold", "_run", CHUNK, DAY, HOME, *helpers)
