@@ -71,18 +71,25 @@ def promo_edges() -> dict[str, Column]:
     }
 
 
-def _middle(ordered: Column) -> Column:
-    """Median of a sorted array that is not empty."""
-    low = F.floor((F.size(ordered) - 1) / F.lit(2)).cast("int")
-    high = F.floor(F.size(ordered) / F.lit(2)).cast("int")
-    return (F.get(ordered, low) + F.get(ordered, high)) / 2
+def _median(values: Column) -> Column:
+    """Median of an array that is not empty.
+
+    The lambda lets the array be sorted once. It also keeps the projection it is in out
+    of whole-stage code, where one method would outgrow what the JVM compiles.
+    """
+    def middle(ordered: Column) -> Column:
+        low = F.floor((F.size(ordered) - 1) / F.lit(2)).cast("int")
+        high = F.floor(F.size(ordered) / F.lit(2)).cast("int")
+        return (F.get(ordered, low) + F.get(ordered, high)) / 2
+
+    return F.transform(F.array(F.sort_array(values)), middle)[0]
 
 
 def running_sums() -> Column:
     """Counts and sums of trading-day sales and of opening, from a chunk's first row on.
 
     Sales are whole numbers, so differences of two sums are exact; squares are summed
-    as decimals.
+    as decimals and only their differences become doubles.
     """
     frame = Window.partitionBy("Store", CHUNK).orderBy(DAY).rowsBetween(Window.unboundedPreceding, 0)
     exact = F.col("_sold").cast("decimal(18,0)")
@@ -123,16 +130,16 @@ def sales_levels(spec: PanelSpec) -> dict[str, Column]:
     columns = {}
     for window in spec.roll_windows:
         n, total, squares = (between(window, part) for part in ("n", "sold", "squares"))
-        exact = total.cast("decimal(19,0)")
-        spread = (n.cast("decimal(10,0)") * squares - exact * exact).cast("double")
         enough = n >= spec.min_count(window)
-        columns[f"roll_mean_{window}"] = F.when(enough, total / n)
-        columns[f"roll_std_{window}"] = F.when(enough, F.sqrt(spread / (n * (n - 1))))
+        mean = total / n
+        columns[f"roll_mean_{window}"] = F.when(enough, mean)
+        # Mostly a long; converting a decimal to a double is slow.
+        square_sum = F.coalesce(squares.try_cast("long").cast("double"), squares.cast("double"))
+        spread = F.greatest(square_sum - mean * total, F.lit(0.0))
+        columns[f"roll_std_{window}"] = F.when(enough, F.sqrt(spread / (n - 1)))
     level = spec.level_window
     least = spec.min_count(level)
-    columns[f"roll_median_{level}"] = F.when(
-        F.size("_level") >= least, _middle(F.sort_array("_level"))
-    )
+    columns[f"roll_median_{level}"] = F.when(F.size("_level") >= least, _median(F.col("_level")))
     columns[f"open_rate_{level}"] = F.when(
         between(level, "days") >= least, between(level, "open") / between(level, "days")
     )
@@ -153,7 +160,7 @@ def sales_ratios(spec: PanelSpec) -> dict[str, Column]:
     return {
         f"trend_{spec.level_window}_over_{spec.trend_window}": F.try_divide(level, trend),
         f"dow_mean_{spec.weekday_weeks}": weekday,
-        f"dow_ratio": F.try_divide(weekday, level),
+        "dow_ratio": F.try_divide(weekday, level),
     }
 
 
