@@ -23,20 +23,29 @@ def with_halo(df: DataFrame, span: int, back: int, ahead: int = 0) -> DataFrame:
     whose last day looks ahead to it. Frames evaluated per (Store, chunk) are then
     exact for home rows, and a group never holds more than ``span + back + ahead``
     days, however long or hot a store is.
-
-    Frames cost time per row, not per byte, so the exchange asks for all shuffle
-    partitions: coalescing it by size would leave cores idle.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     day = day_number(F.col("Date"))
     first = F.floor((day - ahead) / F.lit(span))
     last = F.floor((day + back) / F.lit(span))
-    return (
+    copies = (
         df.withColumn(DAY, day)
         .withColumn(CHUNK, F.explode(F.sequence(first, last)))
         .withColumn(HOME, F.col(CHUNK) == F.floor(F.col(DAY) / F.lit(span)))
-        .repartition(partitions, "Store", CHUNK)
     )
+    return _over_all_cores(copies)
+
+
+def _over_all_cores(df: DataFrame) -> DataFrame:
+    """Partition by series chunk, asking for all shuffle partitions where they are few.
+
+    Frames cost time per row, not per byte: coalesced by size, a small table would leave
+    cores idle. Where the setting is many times the cores, coalescing is left to AQE.
+    """
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions > 4 * spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(partitions, "Store", CHUNK)
 
 
 def _days(oldest: int, newest: int):

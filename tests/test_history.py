@@ -107,14 +107,44 @@ def test_a_series_is_spread_over_chunks(spark):
     assert halo.where(history.HOME).count() == facts.count()
 
 
-def test_one_exchange_for_all_windows(spark, tmp_path):
+@pytest.mark.parametrize("partitions", [4, 1000])
+def test_one_exchange_for_all_windows(spark, tmp_path, partitions):
     data.facts(spark).write.parquet(str(tmp_path / "facts"))
     facts = spark.read.parquet(str(tmp_path / "facts"))
-    plan = history.add_history(facts, data.SPEC)._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        plan = history.add_history(facts, data.SPEC)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Sort [") == 1
 
 
+def test_a_bounded_build_prunes_the_scan(spark, tmp_path):
+    data.facts(spark).write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    day = dt.date(2014, 10, 1)
+    out = features_between(facts, data.stores(spark), day, day, data.SPEC).select("Store", "Date", "lag_49")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(Date,2014-05-16)" in plan and "LessThanOrEqual(Date,2014-10-02)" in plan
+    assert "Customers" not in plan and "StateHoliday" not in plan
+
+
+def test_sales_must_be_whole_numbers(spark):
+    fractions = data.facts(spark).withColumn("Sales", F.col("Sales") / 3)
+    with pytest.raises(TypeError, match="whole numbers"):
+        history.add_history(fractions, data.SPEC)
+
+
+def test_constant_sales_have_no_spread(spark):
+    """Large equal sales: differences of running sums must not leave a remainder."""
+    rows = [(1, 1, data.START + dt.timedelta(days=i), 99_999_999_999, 1, 1, 0, "0", 0) for i in range(200)]
+    out = history.add_history(spark.createDataFrame(rows, data.FACTS), data.SPEC)
+    worst = out.agg(*[F.max(f"roll_std_{w}") for w in (7, 14, 28, 91)]).first()
+    assert all(v < 1e-7 * 99_999_999_999 for v in worst)
+
+
 def test_promo_cycle_and_cost(spark):
     rows = data.fact_rows()
     by_day = {(r[0], r[2]): r for r in rows}
