@@ -797,7 +797,7 @@ def gbt_variants(spark, sf_dir):
         _vocabulary(spark, sf_dir),
         baseline,
         SPEC,
-        replace(SETTINGS, rounds=3),
+        replace(SETTINGS, rounds=2),
         root,
     )
     logged = runs.read_table(spark, root, "runs"), runs.read_table(spark, root, "run_metrics")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.dates import iso_weekday
@@ -17,7 +17,8 @@ def store_days(
     """Every store on every day between the first and last date of the whole table.
 
     ``first`` and ``last`` narrow the days. Each store row generates its own calendar,
-    so nothing is paired with anything.
+    so nothing is paired with anything. The stores are few bytes that become many rows,
+    so they are spread over all cores first.
     """
     bounds = facts.agg(F.min("Date").alias("first"), F.max("Date").alias("last"))
     low, high = bounds.select("first").scalar(), bounds.select("last").scalar()
@@ -25,7 +26,17 @@ def store_days(
         low = F.greatest(low, F.lit(first))
     if last is not None:
         high = F.least(high, F.lit(last))
-    return facts.select("Store").distinct().select("Store", F.explode(F.sequence(low, high)).alias("Date"))
+    stores = facts.select("Store").distinct()
+    # By a hash of its own: by the store alone it would be merged into the distinct's
+    # exchange, which is coalesced to a few tasks.
+    spread = stores.repartition(generating_tasks(facts.sparkSession), F.xxhash64("Store"))
+    return spread.select("Store", F.explode(F.sequence(low, high)).alias("Date"))
+
+
+def generating_tasks(spark: SparkSession) -> int:
+    """Tasks for a step whose output is far larger than its input."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(partitions, 4 * spark.sparkContext.defaultParallelism)
 
 
 def _between(df: DataFrame, first: dt.date | None, last: dt.date | None) -> DataFrame:

@@ -22,6 +22,12 @@ def test_complete_panel_has_every_day_once(spark):
     assert full.where(F.col("DayOfWeek") != F.weekday("Date") + 1).isEmpty()
 
 
+def test_panel_rows_come_from_many_tasks(spark):
+    facts = data.facts(spark, stores=tuple(range(1, 41)), days=30)
+    days = panel.store_days(facts).withColumn("p", F.spark_partition_id())
+    assert days.select("p").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_extended_panel_tells_gaps_by_absence(spark):
     both = files.extended_history(
         data.facts(spark).where(F.col("Date") < "2014-12-17"), data.future(spark)
