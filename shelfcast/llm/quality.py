@@ -29,9 +29,9 @@ class QualityRules:
     min_words: int = 10
     max_repeat_percent: int = 20
     common_words: int = 50
-    guard_chars: int = 200
+    guard_chars: int = 300
     guard_words: int = 60
-    max_class_distance: float = 0.25
+    max_class_distance: float = 0.3
     max_word_distance: float = 0.6
     max_languages: int = 256
 
