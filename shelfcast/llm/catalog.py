@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import quality
+from shelfcast.llm import quality, simhash
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (quality.op8_quality_rules,)
+    found = (quality.op8_quality_rules, simhash.op6_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
