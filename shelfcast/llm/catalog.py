@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import quality, simhash
+from shelfcast.llm import decontaminate, quality, simhash
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (quality.op8_quality_rules, simhash.op6_simhash_near_dedup)
+    found = (
+        quality.op8_quality_rules,
+        simhash.op6_simhash_near_dedup,
+        decontaminate.op7_benchmark_decontamination,
+    )
     return {f.__name__: f for f in found}
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op7_benchmark_decontamination": decontaminate.ORACLE}
