@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import decontaminate, quality, simhash
+from shelfcast.llm import decontaminate, packing, private, quality, simhash
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality.op8_quality_rules,
         simhash.op6_simhash_near_dedup,
         decontaminate.op7_benchmark_decontamination,
+        private.op4_pii,
+        packing.op2_best_fit_packing,
     )
     return {f.__name__: f for f in found}
 
