@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import decontaminate, packing, private, quality, simhash
+from shelfcast.llm import decontaminate, packing, private, quality, simhash, urlfilter
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,13 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         decontaminate.op7_benchmark_decontamination,
         private.op4_pii,
         packing.op2_best_fit_packing,
+        urlfilter.op9_url_filters,
     )
     return {f.__name__: f for f in found}
 
 
 def statements() -> dict[str, str]:
-    return {"op7_benchmark_decontamination": decontaminate.ORACLE}
+    return {
+        "op7_benchmark_decontamination": decontaminate.ORACLE,
+        "op9_url_filters": urlfilter.oracle(),
+    }
