@@ -15,10 +15,12 @@ NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class DecontaminationParams:
-    """Words of a window, and words of the shingles that are joined."""
+    """Words of a window, words of the shingles that are joined, and the most shingle hashes (of
+    8 bytes) that are broadcast; more are joined by a shuffle."""
 
     window: int = 10
     shingle: int = 3
+    broadcast_keys: int = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -29,7 +31,12 @@ def words(text: Column) -> Column:
 
 def _key(words_: Column, start: Column, length: int) -> Column:
     """Hash of ``length`` words from ``start`` (0-based); what it finds is verified word by word."""
-    return F.xxhash64(*[F.get(words_, start + i) for i in range(length)])
+    return F.xxhash64(F.lit(length), *[F.get(words_, start + i) for i in range(length)])
+
+
+def _small(keys: DataFrame, params: DecontaminationParams) -> DataFrame:
+    """``keys``, a written column of longs, marked for broadcast if their number is within the bound."""
+    return F.broadcast(keys) if keys.count() <= params.broadcast_keys else keys
 
 
 def _item_windows(benchmark: DataFrame, params: DecontaminationParams) -> tuple[DataFrame, DataFrame]:
@@ -57,15 +64,13 @@ def _shingles(windows: DataFrame, params: DecontaminationParams) -> DataFrame:
 
 
 def _positions(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """``texts`` (.., w, n_words) with one row for each place and shingle length: at, length, key."""
+    """``texts`` (.., w, n_words) with one row for each place and shingle length: at, key."""
     each = texts.where("n_words > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n_words") - 1)).alias("at"))
     at, size = F.col("at"), F.col("n_words")
     if len(lengths) == 1:
-        n = lengths[0]
-        return each.where(at + n <= size).select("*", F.lit(n).alias("length"), _key(F.col("w"), at, n).alias("key"))
-    keys = F.array(*[F.struct(F.lit(n).alias("length"), _key(F.col("w"), at, n).alias("key")) for n in lengths])
-    each = each.select("*", F.explode(keys).alias("k")).select(*each.columns, "k.length", "k.key")
-    return each.where(at + F.col("length") <= size)
+        return each.where(at + lengths[0] <= size).select("*", _key(F.col("w"), at, lengths[0]).alias("key"))
+    keys = F.array(*[F.when(at + n <= size, _key(F.col("w"), at, n)) for n in lengths])
+    return each.select("*", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> tuple[DataFrame, DataFrame]:
@@ -86,20 +91,24 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, params: DecontaminationPa
     if not lengths:
         lengths = [params.shingle]
     # Rarity: a count for each shingle of the benchmark over all documents, summed in the tasks first.
-    held = _positions(texts.select("w", "n_words"), lengths).select("length", "key")
-    counts = held.join(shingles.select("length", "key").distinct(), ["length", "key"]).groupBy("length", "key").count()
-    ranked = shingles.join(counts, ["length", "key"], "left").fillna(0, ["count"])
+    asked = stage(shingles.select("key").distinct(), "shingle-keys")
+    held = _positions(texts.select("w", "n_words"), lengths).select("key")
+    counts = held.join(_small(asked, params), "key").groupBy("key").count()
+    ranked = shingles.join(counts, "key", "left").fillna(0, ["count"])
     # Windows with a shingle that no document holds are in none.
-    prefix = ranked.groupBy("window_id").agg(F.min(F.struct("count", "at", "length", "key")).alias("p")).where("p.count > 0")
-    prefix = prefix.join(windows, "window_id").select(
-        "window_id", "size", "body", F.col("p.length").alias("length"), F.col("p.key").alias("key"), F.col("p.at").alias("shift")
-    )
+    prefix = ranked.groupBy("window_id").agg(F.min(F.struct("count", "at", "key")).alias("p")).where("p.count > 0")
+    prefix = prefix.join(windows, "window_id").select("window_id", "size", "body", F.col("p.key").alias("key"), F.col("p.at").alias("shift"))
     prefix = stage(prefix, "prefixes")
+    needed = stage(prefix.select("key").distinct(), "prefix-keys")
+    # A place with a prefix shingle goes on with the words around it only.
+    left = F.least("at", F.lit(params.window - 1))
+    around = F.slice("w", F.col("at") - left + 1, left + params.window)
+    near = _positions(texts, lengths).join(_small(needed, params), "key").select(*found_schema, "n_words", "at", "key", left.alias("left"), around.alias("around"))
     start = F.col("at") - F.col("shift")
     found = (
-        _positions(texts, lengths).join(prefix, ["length", "key"])
+        near.join(prefix, "key")
         .where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
-        .where(F.slice("w", start + 1, F.col("size")) == F.col("body"))
+        .where(F.slice("around", F.greatest(F.lit(1), F.col("left") - F.col("shift") + 1), F.col("size")) == F.col("body"))
         .select(*found_schema, start.alias("at"), "size", "window_id")
     )
     return stage(found, "occurrences"), owners
