@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import decontaminate, packing, private, quality, simhash, urlfilter
+from shelfcast.llm import decontaminate, packing, private, quality, simhash, urlfilter, warc
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         private.op4_pii,
         packing.op2_best_fit_packing,
         urlfilter.op9_url_filters,
+        warc.op10_warc,
     )
     return {f.__name__: f for f in found}
 
@@ -25,4 +26,5 @@ def statements() -> dict[str, str]:
     return {
         "op7_benchmark_decontamination": decontaminate.ORACLE,
         "op9_url_filters": urlfilter.oracle(),
+        "op10_warc": warc.ORACLE,
     }
