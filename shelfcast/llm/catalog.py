@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import decontaminate, packing, private, quality, simhash, urlfilter, warc
+from shelfcast.llm import ctw, decontaminate, packing, private, quality, simhash, urlfilter, warc
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         decontaminate.op7_benchmark_decontamination,
         private.op4_pii,
         packing.op2_best_fit_packing,
+        ctw.op5_lm_scoring,
         urlfilter.op9_url_filters,
         warc.op10_warc,
     )
