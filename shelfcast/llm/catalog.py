@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import ctw, decontaminate, packing, private, quality, simhash, urlfilter, warc
+from shelfcast.llm import ctw, decontaminate, packing, private, quality, simhash, suffix, urlfilter, warc
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         private.op4_pii,
         packing.op2_best_fit_packing,
         ctw.op5_lm_scoring,
+        suffix.op1_suffix_array_dedup,
         urlfilter.op9_url_filters,
         warc.op10_warc,
     )

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.sources.staging import stage
 
-__all__ = ["components", "batch_of", "stage", "table"]
+__all__ = ["Chunks", "batch_of", "chunked", "components", "return_to_chunks", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +60,34 @@ def components(edges: DataFrame) -> DataFrame:
             break
     stars = links.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return stars.union(stars.select("component", "component").distinct().toDF("node", "component"))
+
+
+def chunked(docs: DataFrame, path: str, chunk_bits: int) -> DataFrame:
+    """``docs`` written to ``path`` with a fixed row number and the chunk it falls in."""
+    row = F.monotonically_increasing_id()
+    kept = docs.withColumn("row", row).withColumn("chunk", F.shiftright("row", chunk_bits))
+    kept.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(kept.schema).parquet(path)
+
+
+def return_to_chunks(rows: DataFrame, path: str, buckets: int) -> None:
+    """Writes ``rows`` (chunk, ..) so that a chunk's are together in a file of its bucket, for ``Chunks`` to read."""
+    chunk = F.col("chunk")
+    bucket = F.pmod(F.shiftright(chunk, 20) * 31 + chunk.bitwiseAND(F.lit(0xFFFFF)), F.lit(buckets))
+    dealt = rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    dealt.write.partitionBy("bucket").parquet(path)
+
+
+class Chunks:
+    """Reads, inside tasks, what ``return_to_chunks`` wrote for one chunk."""
+
+    def __init__(self, path: str, buckets: int):
+        self.files, self.base = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        self.buckets = buckets
+
+    def load(self, chunk: int) -> pa.Table | None:
+        bucket = ((chunk >> 20) * 31 + (chunk & 0xFFFFF)) % self.buckets
+        place = f"{self.base}/bucket={bucket}"
+        if self.files.get_file_info(place).type == pyarrow.fs.FileType.NotFound:
+            return None
+        return pads.dataset(place, filesystem=self.files, format="parquet").to_table(filter=pads.field("chunk") == chunk)

@@ -19,12 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.dataset as pads
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import stage, table
+from shelfcast.llm.common import Chunks, chunked, return_to_chunks, stage, table
 from shelfcast.sources.staging import stage_path
 
 #: Bytes before a byte that are its context.
@@ -198,18 +196,6 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _bucket(chunk, buckets: int):
-    return ((chunk >> 20) * 31 + (chunk & 0xFFFFF)) % buckets
-
-
-def _returned(rows: DataFrame, path: str, buckets: int) -> None:
-    """Writes ``rows`` (chunk, ..) so that a chunk's are together in a file of its bucket."""
-    chunk = F.col("chunk")
-    bucket = F.pmod(F.shiftright(chunk, 20) * 31 + chunk.bitwiseAND(F.lit(0xFFFFF)), F.lit(buckets))
-    dealt = rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    dealt.write.partitionBy("bucket").parquet(path)
-
-
 SCORES = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
 )
@@ -226,9 +212,7 @@ def scored(docs: DataFrame, params: CtwParams = CtwParams()) -> DataFrame:
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % params.folds
     root = stage_path(spark, "ctw")
-    kept = docs.select("doc_id", "text", (fold == params.held_out).alias("held_out")).withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), params.chunk_bits))
-    kept.write.option("compression", "zstd").parquet(f"{root}/docs")
-    kept = spark.read.schema(kept.schema).parquet(f"{root}/docs")
+    kept = chunked(docs.select("doc_id", "text", (fold == params.held_out).alias("held_out")), f"{root}/docs", params.chunk_bits)
     entries = stage(kept.select("chunk", "held_out", "text").mapInArrow(_entries, "chunk long, word binary, gram long, n long"), "entries")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -237,7 +221,7 @@ def scored(docs: DataFrame, params: CtwParams = CtwParams()) -> DataFrame:
     words = entries.where("word is not null").select(
         "chunk", "word", F.sum("n").over(whole).alias("n"), (F.row_number().over(whole.orderBy("chunk")) == 1).alias("first")
     )
-    _returned(words, f"{root}/words", buckets)
+    return_to_chunks(words, f"{root}/words", buckets)
     totals = spark.read.schema("chunk long, word binary, n long, first boolean").parquet(f"{root}/words")
     once = F.col("first") & (F.col("n") > 0)
     sums = totals.agg(F.sum(F.when(once, F.col("n"))).alias("n"), F.count(F.when(once, 1)).alias("v")).first()
@@ -246,29 +230,21 @@ def scored(docs: DataFrame, params: CtwParams = CtwParams()) -> DataFrame:
 
     keyed = entries.where("gram is not null").select("chunk", "gram", "n")
     model = probabilities(keyed.groupBy("gram").agg(F.sum("n").alias("n")))
-    _returned(keyed.select("chunk", "gram").join(model, "gram"), f"{root}/grams", buckets)
+    return_to_chunks(keyed.select("chunk", "gram").join(model, "gram"), f"{root}/grams", buckets)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, counts, keys, logs = None, {}, None, None
-        uri = root if "://" in root or root.startswith("file:") else f"file://{root}"
-        files, base = pyarrow.fs.FileSystem.from_uri(uri)
-
-        def load(kind: str, chunk: int) -> pa.Table | None:
-            place = f"{base}/{kind}/bucket={_bucket(chunk, buckets)}"
-            if files.get_file_info(place).type == pyarrow.fs.FileType.NotFound:
-                return None
-            return pads.dataset(place, filesystem=files, format="parquet").to_table(filter=pads.field("chunk") == chunk)
-
+        of_words, of_grams = Chunks(f"{root}/words", buckets), Chunks(f"{root}/grams", buckets)
         known_end, smooth = int(ends > 0), math.log10(n_train + n_distinct + 1)
         for b in batches:
             rows = []
             for chunk, doc_id, held, text in zip(*(b.column(c).to_pylist() for c in ("chunk", "doc_id", "held_out", "text")), strict=True):
                 if chunk != current:
                     current, counts = chunk, {}
-                    got = load("words", chunk)
+                    got = of_words.load(chunk)
                     if got is not None:
                         counts = dict(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True))
-                    got = load("grams", chunk)
+                    got = of_grams.load(chunk)
                     order = np.argsort(got["gram"].to_numpy())
                     keys, logs = got["gram"].to_numpy()[order].astype(np.uint32), got["log10p"].to_numpy()[order]
                 raw = (text or "").encode().lower()
