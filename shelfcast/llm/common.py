@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.sources.staging import stage
 
-__all__ = ["Chunks", "batch_of", "chunked", "components", "return_to_chunks", "stage", "table"]
+__all__ = ["Chunks", "batch_of", "chunked", "components", "return_to_chunks", "rows_of", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,14 @@ def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch], *names: str, step: int = 256) -> Iterator[tuple]:
+    """Rows of the named columns; a few at a time become Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, step):
+            part = b.slice(i, step)
+            yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b).
 

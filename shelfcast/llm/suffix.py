@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import Chunks, chunked, return_to_chunks, table
+from shelfcast.llm.common import Chunks, chunked, return_to_chunks, rows_of, table
 from shelfcast.sources.staging import stage_path
 
 
@@ -41,9 +41,9 @@ class SuffixParams:
 
     length: int = 200
     gram: int = 100
-    chunk_bits: int = 13
+    chunk_bits: int = 12
     hashes_per_part: int = 1_000_000
-    suffixes_per_part: int = 200_000
+    suffixes_per_part: int = 100_000
     sample_docs: int = 2_000
 
     @property
@@ -198,13 +198,12 @@ Asked = Callable[[int], Ask]
 def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
     """(chunk, [(row, bytes)]) of the texts long enough to hold a repeat."""
     current, held = None, []
-    for b in batches:
-        for row, chunk, text in zip(*(b.column(c).to_pylist() for c in ("row", "chunk", "text")), strict=True):
-            if chunk != current:
-                if held:
-                    yield current, held
-                current, held = chunk, []
-            held.append((row, (text or "").encode()))
+    for row, chunk, text in rows_of(batches, "row", "chunk", "text"):
+        if chunk != current:
+            if held:
+                yield current, held
+            current, held = chunk, []
+        held.append((row, (text or "").encode()))
     if held:
         yield current, held
 
@@ -427,7 +426,7 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
         current, held = None, []
         for b in batches:
             out = []
-            for doc_id, row, chunk, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "chunk", "text")), strict=True):
+            for doc_id, row, chunk, text in rows_of([b], "doc_id", "row", "chunk", "text"):
                 if chunk != current:
                     current, held = chunk, [f.load(chunk) for f in found]
                 raw = (text or "").encode()
