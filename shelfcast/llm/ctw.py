@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import Chunks, chunked, return_to_chunks, stage, table
+from shelfcast.llm.common import Chunks, chunked, return_to_chunks, rows_of, stage, table
 from shelfcast.sources.staging import stage_path
 
 #: Bytes before a byte that are its context.
@@ -141,57 +141,66 @@ def probabilities(counted: DataFrame) -> DataFrame:
 ENTRIES = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A chunk's distinct words and grams, with counts of its training documents."""
-    current, words, keys = None, Counter(), []
-    none = np.zeros(0, np.uint64)
+def _counted(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and their counts, by a plain sort."""
+    values = np.sort(np.concatenate(found))
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], np.diff(np.append(first, len(values)))
+
+
+class Tally:
+    """Counts of grams: a bounded part at a time is sorted and counted."""
+
+    PART = 4_000_000
+
+    def __init__(self):
+        self.raw, self.size, self.done = [], 0, []
 
-    def merged(keys: list) -> np.ndarray:
-        return np.concatenate(keys) if keys else none
+    def add(self, found: np.ndarray) -> None:
+        self.raw.append(found)
+        self.size += len(found)
+        if self.size > self.PART:
+            self.fold()
 
-    def fold() -> None:
-        """Grams so far, as (gram, training) sorted and counted."""
-        nonlocal keys
-        found, n = np.unique(merged([k for k, _ in keys]), return_inverse=True)
-        keys = [(found, np.bincount(n, merged([c for _, c in keys]), len(found)).astype(np.uint64))] if len(found) else []
+    def fold(self) -> None:
+        if self.raw:
+            self.done.append(_counted(self.raw))
+            self.raw, self.size = [], 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        self.fold()
+        if not self.done:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        gram, which = np.unique(np.concatenate([g for g, _ in self.done]), return_inverse=True)
+        return gram, np.bincount(which, np.concatenate([n for _, n in self.done]), len(gram)).astype(np.int64)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct words and grams, with counts of its training documents."""
+    current, words, learned, other = None, Counter(), Tally(), Tally()
 
     def flush():
-        nonlocal words, keys
-        for held in np.array_split(np.arange(len(words)), max(1, len(words) // 50_000)):
-            if len(held):
-                part = list(words.items())[held[0] : held[-1] + 1]
-                yield pa.record_batch(
-                    [pa.array([current] * len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.nulls(len(part), pa.int64()), pa.array([n for _, n in part], pa.int64())], schema=ENTRIES
-                )
-        fold()
-        if keys:
-            found, n = keys[0]
-            gram, start = np.unique(found >> np.uint64(1), return_index=True)
-            train = np.add.reduceat(np.where(found & np.uint64(1), n, np.uint64(0)), start)
-            yield pa.record_batch(
-                [pa.array(np.full(len(gram), current, np.int64)), pa.nulls(len(gram), pa.binary()), pa.array(gram.astype(np.int64)), pa.array(train.astype(np.int64))], schema=ENTRIES
-            )
-        words, keys = Counter(), []
-
-    size = 0
-    for b in batches:
-        for chunk, held, text in zip(*(b.column(c).to_pylist() for c in ("chunk", "held_out", "text")), strict=True):
-            if chunk != current:
-                if current is not None:
-                    yield from flush()
-                current, size = chunk, 0
-            raw = (text or "").encode().lower()
-            if held:
-                for w in raw.split():
-                    words[w] += 0
-            else:
-                words.update(raw.split())
-            found = (grams(raw).astype(np.uint64) << np.uint64(1)) | np.uint64(not held)
-            keys.append((found, np.ones(len(found))))
-            size += len(found)
-            if size > 4_000_000:
-                fold()
-                size = 0
+        chunk_of = lambda n: pa.array(np.full(n, current, np.int64))
+        found, counts = list(words), np.fromiter(words.values(), np.int64, len(words))
+        for i in range(0, len(found), 50_000):
+            part = found[i : i + 50_000]
+            yield pa.record_batch([chunk_of(len(part)), pa.array(part, pa.binary()), pa.nulls(len(part), pa.int64()), pa.array(counts[i : i + 50_000])], schema=ENTRIES)
+        gram, n = learned.total()
+        rest = np.setdiff1d(other.total()[0], gram, assume_unique=True)
+        gram, n = np.concatenate([gram, rest]).astype(np.int64), np.concatenate([n, np.zeros(len(rest), np.int64)])
+        yield pa.record_batch([chunk_of(len(gram)), pa.nulls(len(gram), pa.binary()), pa.array(gram), pa.array(n)], schema=ENTRIES)
+
+    for chunk, held, text in rows_of(batches, "chunk", "held_out", "text"):
+        if chunk != current:
+            if current is not None:
+                yield from flush()
+            current, words, learned, other = chunk, Counter(), Tally(), Tally()
+        raw = (text or "").encode().lower()
+        if held:
+            words.update(dict.fromkeys(raw.split(), 0))
+        else:
+            words.update(raw.split())
+        (other if held else learned).add(grams(raw))
     if current is not None:
         yield from flush()
 
@@ -238,7 +247,7 @@ def scored(docs: DataFrame, params: CtwParams = CtwParams()) -> DataFrame:
         known_end, smooth = int(ends > 0), math.log10(n_train + n_distinct + 1)
         for b in batches:
             rows = []
-            for chunk, doc_id, held, text in zip(*(b.column(c).to_pylist() for c in ("chunk", "doc_id", "held_out", "text")), strict=True):
+            for chunk, doc_id, held, text in rows_of([b], "chunk", "doc_id", "held_out", "text"):
                 if chunk != current:
                     current, counts = chunk, {}
                     got = of_words.load(chunk)
@@ -249,7 +258,7 @@ def scored(docs: DataFrame, params: CtwParams = CtwParams()) -> DataFrame:
                     keys, logs = got["gram"].to_numpy()[order].astype(np.uint32), got["log10p"].to_numpy()[order]
                 raw = (text or "").encode().lower()
                 c = np.array([*map(counts.__getitem__, raw.split()), ends], float)
-                found = grams(raw)
+                found = np.sort(grams(raw))  # sorted, as nearby keys are found faster
                 total = float(logs[np.searchsorted(keys, found)].sum())
                 known = int((c[:-1] > 0).sum()) + known_end
                 rows.append((doc_id, held, len(c), known, n_train, float(np.log10(c + 1).sum() - len(c) * smooth), total, -total / math.log10(2) / len(found)))
