@@ -18,22 +18,25 @@ from shelfcast.sources.staging import stage
 from shelfcast.spec import PanelSpec
 
 SPEC = PanelSpec(
-    valid_start=dt.date(2001, 4, 27),
-    test_start=dt.date(2001, 6, 14),
-    serve_to=dt.date(2001, 9, 17),
+    valid_start=dt.date(2001, 8, 1),
+    test_start=dt.date(2001, 9, 18),
+    serve_to=dt.date(2001, 12, 22),
     money_scale=100,
 )
-HISTORY_END = dt.date(2001, 7, 31)
+#: Last shipping day of the tables; the published calendar begins after it.
+HISTORY_END = dt.date(2001, 11, 4)
 FIRST_MONDAY = dt.date(1995, 1, 2)
 
 _staged: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """``build()`` staged once per application and input folder."""
+def shared(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], staged: bool = False
+) -> DataFrame:
+    """``build()`` staged once per application and input folder; ``staged`` says it is already."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _staged:
-        _staged[key] = stage(build(), name)
+        _staged[key] = build() if staged else stage(build(), name)
     return _staged[key]
 
 
@@ -54,7 +57,6 @@ def derive_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("Date"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
     )
-    lines = lines.where(F.col("Date") <= F.lit(HISTORY_END))
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = _table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_nationkey").cast("int").alias("Store")

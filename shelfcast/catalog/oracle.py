@@ -6,8 +6,8 @@ and counts rows, so the two reach a result by different ways.
 
 from __future__ import annotations
 
-VALID, TEST, UNSEEN = "DATE '2001-04-27'", "DATE '2001-06-14'", "DATE '2001-08-01'"
-VALID_END, TEST_END, SERVE_TO = "DATE '2001-06-13'", "DATE '2001-07-31'", "DATE '2001-09-17'"
+VALID, TEST, UNSEEN = "DATE '2001-08-01'", "DATE '2001-09-18'", "DATE '2001-11-05'"
+VALID_END, TEST_END, SERVE_TO = "DATE '2001-09-17'", "DATE '2001-11-04'", "DATE '2001-12-22'"
 
 LAGS = (49, 56, 63, 70, 77, 91)
 ROLLS = ((7, 2), (14, 4), (28, 9), (91, 30))
@@ -28,7 +28,7 @@ sold_days AS (
   SELECT *, CAST(isodow(Date) AS INT) AS dow,
          CAST(FLOOR((Date - DATE '1995-01-02') / 7.0) AS INT) AS wk,
          MONTH(Date) * 100 + DAY(Date) AS md
-  FROM sold WHERE Date <= {TEST_END}),
+  FROM sold),
 daily AS (
   SELECT Store, dow AS DayOfWeek, Date,
     CAST(CASE WHEN dow <> 7 THEN gross ELSE 0 END AS BIGINT) AS Sales,
@@ -591,6 +591,9 @@ def _check_queries() -> dict[str, str]:
     week_ago = """{n} AS (SELECT p.*, CAST(q.Sales AS DOUBLE) AS week_ago FROM {t} p
       LEFT JOIN {t} q ON p.Store = q.Store AND p.Date = q.Date + 7)"""
 
+    ahead_60 = """{n} AS (SELECT p.*, CAST(q.Sales AS DOUBLE) AS ahead_60 FROM {t} p
+      LEFT JOIN {t} q ON p.Store = q.Store AND p.Date = q.Date - 60)"""
+
     weeks = f"CASE WHEN {PROGRAMME} = 1 THEN (Date - joined) / 7.0 ELSE -1.0 END AS promo2_weeks_running"
     paths = [
         PANEL, EXTENDED, STORE_PARTS,
@@ -621,6 +624,14 @@ def _check_queries() -> dict[str, str]:
             pairs.format(columns="a.week_ago AS a_week_ago, b.week_ago AS b_week_ago"),
             body=leaks(["week_ago"]),
         ),
+        "leakage_report_planted_far": sql(
+            PANEL,
+            blind,
+            ahead_60.format(n="a", t="panel"),
+            ahead_60.format(n="b", t="blind"),
+            pairs.format(columns="a.ahead_60 AS a_ahead_60, b.ahead_60 AS b_ahead_60"),
+            body=leaks(["ahead_60"]),
+        ),
         "feature_correlation": sql(
             PANEL, full_f, body=f"SELECT feature, ROUND(c, 6) AS corr FROM ({corr})"
         ),
@@ -698,8 +709,8 @@ def _serving_queries() -> dict[str, str]:
       serving AS (SELECT *, Store AS store_key FROM history WHERE Date BETWEEN {TEST} AND {SERVE_TO})"""
     requests = """
       asked AS (SELECT o_orderkey AS request_id, CAST(o_custkey % 27 AS INT) AS store_id,
-          DATE '2001-06-12' + CAST(o_orderkey % 97 AS INT) AS start_date,
-          DATE '2001-06-12' + CAST(o_orderkey % 97 AS INT) + CAST(o_custkey % 16 - 1 AS INT) AS end_date
+          DATE '2001-09-16' + CAST(o_orderkey % 97 AS INT) AS start_date,
+          DATE '2001-09-16' + CAST(o_orderkey % 97 AS INT) + CAST(o_custkey % 16 - 1 AS INT) AS end_date
         FROM orders),
       span AS (SELECT MIN(Date) AS lo, MAX(Date) AS hi FROM serving),
       ranges AS (SELECT store_key, MIN(Date) AS first_date, MAX(Date) AS last_date FROM serving GROUP BY 1),
@@ -894,7 +905,7 @@ def _classical_ctes() -> list[str]:
     step = f"y[-7] + a * {zt(1)} + b * {zt(2)} + s * {zt(7)} - a * s * {zt(8)} - b * s * {zt(9)}"
     path = f"""
       verdict AS (SELECT e.Store, hi, a, b, s,
-          CASE WHEN n IS NULL OR n < 30 THEN 'too little history'
+          CASE WHEN n IS NULL OR n < 3 THEN 'too little history'
                WHEN a IS NULL OR b IS NULL OR s IS NULL THEN 'no unique solution' END AS error
         FROM ends e LEFT JOIN coef ON e.Store = coef.Store),
       tails AS (SELECT Store, LIST(y ORDER BY Date) AS y FROM series WHERE hi - Date < 16 GROUP BY 1),

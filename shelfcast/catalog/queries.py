@@ -469,7 +469,7 @@ def _valid_panel(spark, sf_dir) -> DataFrame:
 def leakage_report(spark, sf_dir):
     table = checks.leakage_report(
         lambda rows: hist.add_history(rows, SPEC, promo=False),
-        _valid_panel(spark, sf_dir),
+        panel.complete_panel(fx.daily(spark, sf_dir)),
         SPEC.valid_start,
         _valid_rows(),
         hist.sales_feature_names(SPEC),
@@ -482,7 +482,7 @@ def leakage_report_planted(spark, sf_dir):
     """The same check on sales of a week ago, which do read the window."""
     table = checks.leakage_report(
         lambda rows: baselines.same_day_last_week(rows, rows, "week_ago"),
-        _valid_panel(spark, sf_dir),
+        panel.complete_panel(fx.daily(spark, sf_dir)),
         SPEC.valid_start,
         _valid_rows(),
         ["week_ago"],
@@ -490,6 +490,20 @@ def leakage_report_planted(spark, sf_dir):
     return rounded(table, pct_differ=4)
 
 
+@query
+def leakage_report_planted_far(spark, sf_dir):
+    """The same check on sales 60 days ahead, further than any lawful feature looks."""
+
+    def build(rows: DataFrame) -> DataFrame:
+        later = rows.select("Store", F.date_add("Date", -60).alias("Date"), F.col("Sales").cast("double").alias("ahead_60"))
+        return rows.join(later, ["Store", "Date"], "left")
+
+    table = checks.leakage_report(
+        build, panel.complete_panel(fx.daily(spark, sf_dir)), SPEC.valid_start, _valid_rows(), ["ahead_60"]
+    )
+    return rounded(table, pct_differ=4)
+
+
 @query
 def feature_correlation(spark, sf_dir):
     rows = hist.add_history(_valid_panel(spark, sf_dir), SPEC, promo=False).where(_valid_rows())
@@ -589,13 +603,13 @@ def _serving(spark, sf_dir) -> DataFrame:
             _vocabulary(spark, sf_dir),
         )
 
-    return fx.shared(spark, sf_dir, "serving", build)
+    return fx.shared(spark, sf_dir, "serving", build, staged=True)
 
 
 def _requests(spark, sf_dir) -> DataFrame:
     """One request per order; some for unknown stores, reversed or out of range."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    start = F.date_add(F.lit(dt.date(2001, 6, 12)), (F.col("o_orderkey") % 97).cast("int"))
+    start = F.date_add(F.lit(dt.date(2001, 9, 16)), (F.col("o_orderkey") % 97).cast("int"))
     return orders.select(
         F.col("o_orderkey").alias("request_id"),
         (F.col("o_custkey") % 27).cast("int").alias("store_id"),

@@ -32,20 +32,7 @@ def with_halo(df: DataFrame, span: int, back: int, ahead: int = 0) -> DataFrame:
         .withColumn(CHUNK, F.explode(F.sequence(first, last)))
         .withColumn(HOME, F.col(CHUNK) == F.floor(F.col(DAY) / F.lit(span)))
     )
-    return _over_all_cores(copies)
-
-
-def _over_all_cores(df: DataFrame) -> DataFrame:
-    """Partition by series chunk, asking for all shuffle partitions where they are few.
-
-    Frames cost time per row, not per byte: coalesced by size, a small table would leave
-    cores idle. Where the setting is many times the cores, coalescing is left to AQE.
-    """
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if partitions > 4 * spark.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(partitions, "Store", CHUNK)
+    return copies.repartition("Store", CHUNK)
 
 
 def _days(oldest: int, newest: int):

@@ -27,18 +27,13 @@ def store_days(
     if last is not None:
         high = F.least(high, F.lit(last))
     stores = facts.select("Store").distinct()
-    # By a hash of its own: by the store alone it would be merged into the distinct's
-    # exchange, which is coalesced to a few tasks.
-    spread = stores.repartition(generating_tasks(facts.sparkSession), F.xxhash64("Store"))
+    # A number keeps the few small stores from being coalesced into one task; by a hash of
+    # its own, as by the store alone it would be merged into the distinct's exchange.
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = stores.repartition(tasks, F.xxhash64("Store"))
     return spread.select("Store", F.explode(F.sequence(low, high)).alias("Date"))
 
 
-def generating_tasks(spark: SparkSession) -> int:
-    """Tasks for a step whose output is far larger than its input."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(partitions, 4 * spark.sparkContext.defaultParallelism)
-
-
 def _between(df: DataFrame, first: dt.date | None, last: dt.date | None) -> DataFrame:
     if first is not None:
         df = df.where(F.col("Date") >= F.lit(first))

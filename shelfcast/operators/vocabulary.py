@@ -10,6 +10,9 @@ from shelfcast.operators.ordering import running_totals
 from shelfcast.operators.selection import CATEGORICAL
 from shelfcast.sources.schemas import VOCABULARY
 
+#: Entries of a column that are broadcast, some 50 bytes each.
+SMALL_DOMAIN = 10_000
+
 
 def _is_text(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.StringType)
@@ -54,12 +57,20 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def add_codes(df: DataFrame, vocabulary: DataFrame, columns: tuple[str, ...] = CATEGORICAL) -> DataFrame:
-    """Add ``<column>_code``; a value outside the vocabulary gets NULL."""
+    """Add ``<column>_code``; a value outside the vocabulary gets NULL.
+
+    A column's entries are counted first (one number per categorical column comes back):
+    up to SMALL_DOMAIN of them are broadcast, so that a value which nearly all rows share
+    moves no rows. Larger domains are joined by size and skew as Spark sees fit.
+    """
+    sizes = {r["column"]: r["count"] for r in vocabulary.groupBy("column").count().collect()}
     for c in columns:
         key = "text" if _is_text(df, c) else "number"
         lookup = vocabulary.where(F.col("column") == c).select(
             F.col(key).alias(f"_{c}"), F.col("code").alias(f"{c}_code")
         )
+        if sizes.get(c, 0) <= SMALL_DOMAIN:
+            lookup = F.broadcast(lookup)
         df = df.join(lookup, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
     return df
 
@@ -83,6 +94,14 @@ def outside_vocabulary(
     )
 
 
+def require_known(df: DataFrame, vocabulary: DataFrame, columns: tuple[str, ...] = CATEGORICAL) -> None:
+    """Raise if a value is not in the vocabulary."""
+    outside = outside_vocabulary(df, vocabulary, columns).where("rows_outside > 0").collect()
+    if outside:
+        found = ", ".join(f"{r['rows_outside']} of '{r['column']}'" for r in outside)
+        raise ValueError(f"values outside the vocabulary: {found}")
+
+
 def encode(
     df: DataFrame,
     vocabulary: DataFrame,
@@ -91,10 +110,7 @@ def encode(
 ) -> DataFrame:
     """Add codes; ``strict`` first counts the values outside and refuses any."""
     if strict:
-        outside = outside_vocabulary(df, vocabulary, columns).where("rows_outside > 0").collect()
-        if outside:
-            found = ", ".join(f"{r['rows_outside']} of '{r['column']}'" for r in outside)
-            raise ValueError(f"values outside the vocabulary: {found}")
+        require_known(df, vocabulary, columns)
     return add_codes(df, vocabulary, columns)
 
 

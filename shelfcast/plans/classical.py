@@ -22,7 +22,7 @@ SEASON = 7
 TERMS = (0, 1, 2, 7, 8, 9)
 DEPTH = max(TERMS) + SEASON
 SWEEPS = 20
-MIN_ROWS = 30
+UNKNOWNS = 3
 
 
 def regular_series(history: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -155,7 +155,8 @@ def _coefficients() -> Column:
 def fit(series: DataFrame, spec: PanelSpec) -> DataFrame:
     """Coefficients per store; ``error`` says why a store has none."""
     fitted = cross_products(series, spec).select("Store", "n", _coefficients().alias("c"))
-    usable = F.col("n") >= MIN_ROWS
+    # Fewer equations than coefficients have no one solution, whatever rounding makes of them.
+    usable = F.col("n") >= UNKNOWNS
     solved = F.isnotnull("c.a") & F.isnotnull("c.b") & F.isnotnull("c.s")
     return fitted.select(
         "Store",

@@ -73,16 +73,8 @@ def runs_of_scores(scores: DataFrame, prefix: str = "valid_") -> tuple[DataFrame
 
 def run_values(runs: DataFrame, metrics: DataFrame, key: str) -> DataFrame:
     """Name and value of one metric over all runs."""
-    return runs.sparkSession.sql(
-        """
-        SELECT r.name, m.key, m.value
-        FROM {runs} r JOIN {metrics} m ON r.run_uuid = m.run_uuid
-        WHERE m.key = :key
-        """,
-        args={"key": key},
-        runs=runs,
-        metrics=metrics,
-    )
+    logged = metrics.where(F.col("key") == key).select("run_uuid", "key", "value")
+    return runs.select("run_uuid", "name").join(logged, "run_uuid").drop("run_uuid")
 
 
 def noise_floor(values: DataFrame, seeds: list[str]) -> DataFrame:

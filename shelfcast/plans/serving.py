@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.dates import iso_weekday
-from shelfcast.operators.selection import serving_columns
-from shelfcast.operators.vocabulary import encode
+from shelfcast.operators.selection import CATEGORICAL, serving_columns
+from shelfcast.operators.vocabulary import require_known
 from shelfcast.plans.features import serving_features
 from shelfcast.sources.files import extended_history
+from shelfcast.sources.staging import stage
 from shelfcast.spec import PanelSpec
 
 OK, UNKNOWN, REVERSED, OUTSIDE, EMPTY = "ok", "unknown store", "reversed range", "outside range", "no rows"
@@ -25,14 +26,14 @@ def serving_table(
     spec: PanelSpec,
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """Features of every servable day; a given vocabulary must hold all their values."""
+    """Features of every servable day, built once as a staged table.
+
+    A given vocabulary must hold all values of the categorical features.
+    """
     table = serving_features(extended_history(facts, future), stores, spec)
-    table = serving_columns(table, features)
+    table = stage(serving_columns(table, features), "serving")
     if vocabulary is not None:
-        columns = tuple(
-            r["column"] for r in vocabulary.select("column").distinct().collect() if r["column"] in features
-        )
-        encode(table, vocabulary, columns, strict=True)
+        require_known(table, vocabulary, tuple(c for c in CATEGORICAL if c in features))
     return table
 
 
@@ -151,6 +152,11 @@ def range_summaries(rows: DataFrame) -> DataFrame:
 def forecast_ranges(
     requests: DataFrame, serving: DataFrame, predict: Callable[[DataFrame], DataFrame]
 ) -> tuple[DataFrame, DataFrame]:
-    """Day rows and summaries of all valid requests; ``predict`` adds ``pred`` to rows."""
-    rows = predict(request_rows(requests, serving))
+    """Day rows and summaries of all valid requests; ``predict`` adds ``pred`` to rows.
+
+    A forecast belongs to a store and a day, so each serving row is scored once, however
+    many requests ask for it, and only what answers show goes through the join.
+    """
+    wanted = ["store_key", "Date", "Open", "Promo", "Sales", "pred"]
+    rows = request_rows(requests, predict(serving).select(*wanted))
     return day_forecasts(rows), range_summaries(rows)

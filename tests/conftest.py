@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -17,6 +18,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='shelfcast-tests-')}")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

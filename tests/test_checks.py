@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfcast.operators import checks, history, vocabulary
 from shelfcast.operators.baselines import same_day_last_week
 from shelfcast.operators.panel import complete_panel, split_label, with_stores
+from shelfcast.sources.staging import stage
 
 
 def _valid():
@@ -117,3 +118,27 @@ def test_submission_faults_are_counted(spark):
     }
     rows = spark.createDataFrame([(1, None, None), (2, 1, None)], "Id int, a int, b int")
     assert [r["Id"] for r in checks.rows_without_features(rows, ["a", "b"]).collect()] == [1]
+
+
+def test_a_leak_far_ahead_is_caught(spark):
+    def build(rows):
+        later = rows.select("Store", F.date_add("Date", -60).alias("Date"), F.col("Sales").alias("ahead"))
+        return rows.join(later, ["Store", "Date"], "left")
+
+    early = data.SPEC.valid_start.replace(month=data.SPEC.valid_start.month - 2)
+    rows = F.col("Date").between(F.lit(early), F.lit(data.SPEC.valid_start))
+    report = checks.leakage_report(build, complete_panel(data.facts(spark)), data.SPEC.valid_start, rows, ["ahead"]).first()
+    assert 0 < report["rows_differ"] <= report["rows"]
+
+
+def test_small_domains_move_no_rows(spark):
+    """Without automatic broadcasts, too, codes of weekdays and holidays need no exchange of the facts."""
+    facts = data.facts(spark)
+    words = stage(vocabulary.build_vocabulary(facts, ("DayOfWeek", "StateHoliday")), "words")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = vocabulary.add_codes(facts, words, ("DayOfWeek", "StateHoliday"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan

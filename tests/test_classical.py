@@ -74,7 +74,7 @@ def test_chunks_do_not_change_the_fit(spark):
 
 def test_a_pure_weekly_pattern_is_repeated_or_refused(spark):
     week = [100, 200, 300, 400, 500, 600, 700]
-    short = history(spark, (week * 3)[:20], store=2)
+    short = history(spark, (week * 3)[:18], store=2)
     noisy = history(spark, [w + (i * 7919) % 13 for i, w in enumerate(week * 30)], store=1)
     flat = history(spark, week * 30, store=3)
     facts = noisy.union(short).union(flat)

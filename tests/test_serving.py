@@ -85,6 +85,19 @@ def test_status_of_each_kind_of_request(spark, served):
     assert got[5]["last_date"] < d(2014, 12, 20)
 
 
+def test_each_serving_row_is_forecast_once(spark, served):
+    """The predictor is given the serving table and not the requested days."""
+    seen = []
+
+    def predict(rows):
+        seen.append(set(rows.columns))
+        return known(rows)
+
+    requests = ask(spark, (1, dt.date(2014, 11, 3), dt.date(2014, 11, 16)))
+    serving.forecast_ranges(requests, served, predict)
+    assert seen == [set(served.columns)]
+
+
 def test_range_forecasts(spark, served):
     requests = ask(spark, (1, dt.date(2014, 11, 3), dt.date(2014, 11, 16)), (10, dt.date(2014, 12, 20), dt.date(2014, 12, 26)))
     days, totals = serving.forecast_ranges(requests, served, known)
