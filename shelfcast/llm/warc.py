@@ -31,12 +31,13 @@ from shelfcast.sources.staging import stage_path
 class WarcParams:
     """Smallest payload that is a revisit, index lines of a block, and shards of the index.
 
-    ``shards`` bounds what the driver holds: the first key of each shard.
+    Without ``shards`` there are as many as shuffle partitions. They bound what the driver
+    holds, the first key of each, and are the tasks that read records back.
     """
 
     min_revisit_bytes: int = 0
     block_lines: int = 512
-    shards: int = 64
+    shards: int | None = None
     date: str = "2000-01-01T00:00:00Z"
 
 
@@ -153,7 +154,8 @@ BLOCKS = pa.schema([("shard", pa.int32()), ("name", pa.string()), ("first", pa.s
 
 def write_index(captures: DataFrame, folder: str, params: WarcParams) -> DataFrame:
     """Sorts the captures into shards of compressed blocks, each with a sparse directory; returns (shard, name, first, lines)."""
-    sorted_ = captures.repartitionByRange(params.shards, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
+    shards = params.shards or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = captures.repartitionByRange(shards, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -246,7 +248,9 @@ def lookup(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
                     found, size = [], 0
             yield batch_of(READ, found)
 
-    dealt = keys.repartitionByRange("key").sortWithinPartitions("key")
+    # A number of tasks, as short keys stand for long records and would be coalesced.
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.repartitionByRange(tasks, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html binary"
     )
