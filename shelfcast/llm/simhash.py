@@ -248,7 +248,9 @@ def _grouped(prints: DataFrame, params: SimHashParams) -> DataFrame:
     named = components(linked(distinct.select("fp"), params))
     tied = distinct.join(named, distinct["fp"] == named["node"]).groupBy("component").agg(F.min("low").alias("component_id"))
     tied = named.join(tied, "component").select(F.col("node").alias("fp"), F.col("component_id").alias("tied"))
-    return distinct.join(tied, "fp", "left").select("fp", F.when(F.col("tied").isNull(), F.col("low")).otherwise(F.col("tied")).alias("component_id"))
+    grouped = distinct.join(tied, "fp", "left").select("fp", F.when(F.col("tied").isNull(), F.col("low")).otherwise(F.col("tied")).alias("component_id"))
+    # Written, so that the join with the documents stands alone and AQE can split a common fingerprint.
+    return stage(grouped, "groups")
 
 
 def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
