@@ -209,7 +209,7 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator
 
 
 def count(docs: DataFrame, path: str, asked: Asked, marked: bool, parts: int, buckets: int) -> None:
-    """Returns to each chunk those of its hashes that the table has twice, or that carry a mark anywhere."""
+    """Returns to each chunk those of its hashes that the table has twice or more; if ``marked``, and that carry a mark anywhere."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in _by_chunk(batches):
@@ -219,9 +219,9 @@ def count(docs: DataFrame, path: str, asked: Asked, marked: bool, parts: int, bu
                 hashes.append(h)
                 marks.append(m)
             own, which, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-            # The lowest bit tells what the chunk alone knows: a mark, or that it has the hash twice.
-            bit = np.bincount(which, np.concatenate(marks), len(own)) > 0 if marked else n > 1
-            coded = own << np.uint64(1) | bit
+            # The two lowest bits tell what the chunk alone knows: a mark, and that it has the hash twice.
+            mark = (np.bincount(which, np.concatenate(marks), len(own)) > 0).astype(np.uint64)
+            coded = (own << np.uint64(2)) | (mark << np.uint64(1)) | (n > 1).astype(np.uint64)
             part = (own * np.uint64(parts) >> np.uint64(HASH_BITS)).astype(np.int64)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             used = np.flatnonzero(np.diff(cuts))
@@ -231,12 +231,12 @@ def count(docs: DataFrame, path: str, asked: Asked, marked: bool, parts: int, bu
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         coded = [np.cumsum(np.frombuffer(zlib.decompress(d), np.uint64)) for d in group["data"]]
         every = np.concatenate(coded)
-        of_one = every[(every & np.uint64(1)).astype(bool)] >> np.uint64(1)
-        own, n = np.unique(every >> np.uint64(1), return_counts=True)
-        wanted = np.unique(of_one) if marked else np.union1d(own[n > 1], of_one)
+        own, n = np.unique(every >> np.uint64(2), return_counts=True)
+        twice = np.union1d(own[n > 1], every[(every & np.uint64(1)).astype(bool)] >> np.uint64(2))
+        wanted = np.intersect1d(twice, every[(every & np.uint64(2)).astype(bool)] >> np.uint64(2)) if marked else twice
         out = []
         for c in coded:
-            h = c >> np.uint64(1)
+            h = c >> np.uint64(2)
             out.append(h[np.isin(h, wanted, assume_unique=True)].tobytes())
         kept = pd.DataFrame({"chunk": group["chunk"], "data": out})
         return kept[kept["data"].str.len() > 0]
@@ -245,38 +245,63 @@ def count(docs: DataFrame, path: str, asked: Asked, marked: bool, parts: int, bu
     return_to_chunks(dealt.groupBy("part").applyInPandas(pick, "chunk long, data binary"), path, buckets)
 
 
-def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, cut: Callable[[bytes, int], bytes], splitters: list[bytes], buckets: int) -> None:
-    """Returns to each chunk (row, place, longest repeat) of the places whose hash ``count`` gave it.
+def loaded(path: str, buckets: int, chunk: int) -> np.ndarray:
+    """The hashes that ``count`` returned to a chunk, sorted."""
+    got = Chunks(path, buckets).load(chunk)
+    if got is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(d, np.uint64) for d in got["data"].to_pylist())]))
+
+
+def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(wanted, values)
+    at[at == len(wanted)] = 0
+    return wanted[at] == values
+
+
+@dataclass(frozen=True)
+class Reading:
+    """What is compared at a place of a text, and the first bytes that bound the ranges."""
+
+    cut: Callable[[bytes, int], bytes]
+    splitters: list[bytes]
+
+
+STRIDE = 1 << 24
 
-    ``cut`` takes from a text what is compared at a place.
-    """
+
+def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, readings: list[Reading], buckets: int) -> None:
+    """Returns to each chunk (reading, row, place, longest repeat) of the places whose hash ``count`` gave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Chunks(hash_path, buckets)
         for chunk, rows in _by_chunk(batches):
-            got = hashes.load(chunk)
-            if got is None or not got.num_rows:
+            wanted = loaded(hash_path, buckets, chunk)
+            if not len(wanted):
                 continue
-            wanted = np.sort(np.concatenate([np.frombuffer(d, np.uint64) for d in got["data"].to_pylist()]))
-            ask, found = asked(chunk), {}
+            ask, places = asked(chunk), []
             for row, raw in rows:
-                places, h, _ = ask(row, raw, np.frombuffer(raw, np.uint8))
-                at = np.searchsorted(wanted, h)
-                at[at == len(wanted)] = 0
-                for p in np.unique(places[wanted[at] == h]).tolist():
-                    found.setdefault(cut(raw, p), []).append((row, p))
-            parts, slices, last = [], [], b""
-            for text in sorted(found):
-                part = bisect.bisect_right(splitters, text[:16])
-                if not parts or parts[-1] != part:
-                    parts.append(part)
-                    slices.append([])
-                    last = b""
-                shared = prefix(last, text)
-                slices[-1].append((text[shared:], shared, found[text]))
-                last = text
-            blobs = [zlib.compress(pickle.dumps(_packed(s)), 3) for s in slices]
-            yield pa.record_batch({"part": pa.array(parts, pa.int64()), "chunk": pa.array([chunk] * len(parts), pa.int64()), "data": pa.array(blobs, pa.binary())})
+                at, h, _ = ask(row, raw, np.frombuffer(raw, np.uint8))
+                places.append(np.unique(at[among(h, wanted)]).tolist())
+            for reading, how in enumerate(readings):
+                found: dict[bytes, list[tuple[int, int]]] = {}
+                for (row, raw), here in zip(rows, places, strict=True):
+                    for p in here:
+                        found.setdefault(how.cut(raw, p), []).append((row, p))
+                parts, slices, last = [], [], b""
+                for text in sorted(found):
+                    part = reading * STRIDE + bisect.bisect_right(how.splitters, text[:16])
+                    if not parts or parts[-1] != part:
+                        parts.append(part)
+                        slices.append([])
+                        last = b""
+                    shared = prefix(last, text)
+                    slices[-1].append((text[shared:], shared, found[text]))
+                    last = text
+                blobs = [zlib.compress(pickle.dumps(_packed(s)), 3) for s in slices]
+                yield pa.record_batch({"part": pa.array(parts, pa.int64()), "chunk": pa.array([chunk] * len(parts), pa.int64()), "data": pa.array(blobs, pa.binary())})
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         packed = [pickle.loads(zlib.decompress(d)) for d in group["data"]]
@@ -284,10 +309,10 @@ def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, cut: Callable
         out = []
         for p, m in zip(packed, longest, strict=True):
             out.append(zlib.compress(pickle.dumps((p[4], p[5], np.repeat(np.array(m, np.int32), p[3]))), 3))
-        return pd.DataFrame({"chunk": group["chunk"], "data": out})
+        return pd.DataFrame({"chunk": group["chunk"], "reading": group["part"] // STRIDE, "data": out})
 
     runs = docs.select("row", "chunk", "text").mapInArrow(run, "part long, chunk long, data binary")
-    return_to_chunks(runs.groupBy("part").applyInPandas(merged, "chunk long, data binary"), path, buckets)
+    return_to_chunks(runs.groupBy("part").applyInPandas(merged, "chunk long, reading long, data binary"), path, buckets)
 
 
 def _packed(entries: list[tuple[bytes, int, list[tuple[int, int]]]]) -> tuple:
@@ -305,23 +330,18 @@ def _unpacked(packed: tuple) -> list[tuple[bytes, int, bool]]:
     return [(rests[a:b], n, c > 1) for a, b, n, c in zip([0, *ends], ends, shared.tolist(), copies.tolist(), strict=False)]
 
 
-class Found:
+def results(path: str, buckets: int, chunk: int, reading: int = 0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """row -> (places, longest repeats) of one chunk."""
-
-    def __init__(self, path: str, buckets: int):
-        self.chunks = Chunks(path, buckets)
-
-    def load(self, chunk: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        got = self.chunks.load(chunk)
-        if got is None or not got.num_rows:
-            return {}
-        parts = [pickle.loads(zlib.decompress(d)) for d in got["data"].to_pylist()]
-        row, place, longest = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((place, row))
-        row, place, longest = row[order], place[order], longest[order]
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
-        ends = [*first[1:], len(row)]
-        return {int(row[a]): (place[a:b].astype(np.int64), longest[a:b].astype(np.int64)) for a, b in zip(first, ends, strict=True)}
+    got = Chunks(path, buckets).load(chunk)
+    parts = [] if got is None else [pickle.loads(zlib.decompress(d)) for r, d in zip(got["reading"].to_pylist(), got["data"].to_pylist(), strict=True) if r == reading]
+    if not parts:
+        return {}
+    row, place, longest = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((place, row))
+    row, place, longest = row[order], place[order], longest[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    ends = [*first[1:], len(row)]
+    return {int(row[a]): (place[a:b].astype(np.int64), longest[a:b].astype(np.int64)) for a, b in zip(first, ends, strict=True)}
 
 
 def _marked(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -344,8 +364,8 @@ def spans_of(ahead, behind, exact, params: SuffixParams) -> tuple[np.ndarray, np
     return np.concatenate(starts), np.concatenate(ends)
 
 
-def owned(raw: np.ndarray, ahead, behind, hasher: Hasher, params: SuffixParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, hashes, marks) of strings of ``length`` that may repeat; marked are those not known to.
+def owned(raw: np.ndarray, ahead, behind, hasher: Hasher, params: SuffixParams):
+    """(first starts, ends, hashes, known): runs of strings of ``length`` that may repeat, one run for each anchor.
 
     Equal strings have their least hash at the same distance. The anchor with it must
     repeat to the string's end and, with its gram, back to the string's start.
@@ -353,19 +373,35 @@ def owned(raw: np.ndarray, ahead, behind, hasher: Hasher, params: SuffixParams)
     n = len(raw) - params.length + 1
     a, z = spans_of(ahead, behind, None, params)
     known = _marked(n, a, z - params.length + 1)
-    back = dict(zip(*(x.tolist() for x in behind), strict=True)) if behind is not None else {}
-    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    place, longest = ahead
+    back = np.zeros(len(place), np.int64)
+    if behind is not None:
+        at = np.minimum(np.searchsorted(behind[0], place), len(behind[0]) - 1)
+        back = np.where(behind[0][at] == place, behind[1][at], 0)
+    firsts, lasts, hashes = [], [], []
     for start, h, low in blocks(raw, hasher, params):
-        inside = (ahead[0] >= start) & (ahead[0] < start + len(h))
-        for p, m in zip(ahead[0][inside].tolist(), ahead[1][inside].tolist(), strict=True):
-            first = max(start, p - params.window + 1, p + params.gram - back.get(p, 0))
-            last = min(start + len(low), p + 1, p - params.length + m + 1)
-            if first < last:
-                at = np.flatnonzero(low[first - start : last - start] == h[p - start]) + first
-                starts.append(at)
-                hashes.append(np.full(len(at), h[p - start]))
-    starts = np.concatenate(starts)
-    return starts, np.concatenate(hashes), ~known[starts]
+        inside = np.flatnonzero((place >= start) & (place < start + len(h)))
+        if not len(inside):
+            continue
+        # Strings next to each other with one least hash are a run.
+        run = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        stop, value = np.append(run[1:], len(low)), low[run]
+        own = h[place[inside] - start]
+        order = np.argsort(own, kind="stable")
+        # An anchor belongs to every run of its hash that it can reach; a hash may have several anchors.
+        left, right = np.searchsorted(own[order], value), np.searchsorted(own[order], value, "right")
+        times = right - left
+        which = np.repeat(np.arange(len(run)), times)
+        anchor = inside[order[np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())]]
+        p = place[anchor]
+        first = np.maximum.reduce([run[which] + start, p - params.window + 1, p + params.gram - back[anchor]])
+        last = np.minimum.reduce([stop[which] + start, p + 1, p - params.length + longest[anchor] + 1])
+        some = first < last
+        firsts.append(first[some])
+        lasts.append(last[some])
+        hashes.append(value[which[some]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *firsts]), np.concatenate([none, *lasts]), np.concatenate([np.zeros(0, np.uint64), *hashes]), known
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int64()))])
@@ -403,32 +439,57 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
         end = p + params.gram
         return raw[max(0, end - params.reach) : end][::-1]
 
-    paths = [f"{root}/{name}" for name in ("ahead", "behind", "exact")]
-    count(kept, f"{root}/grams", at_anchors, False, parts, buckets)
-    sort(kept, f"{root}/grams", paths[0], at_anchors, ahead, forward, buckets)
-    sort(kept, f"{root}/grams", paths[1], at_anchors, behind, backward, buckets)
+    grams_path, both_path, open_path, strings_path, exact_path = (f"{root}/{n}" for n in ("grams", "both", "open", "strings", "exact"))
+    count(kept, grams_path, at_anchors, False, parts, buckets)
+    sort(kept, grams_path, both_path, at_anchors, [Reading(ahead, forward), Reading(behind, backward)], buckets)
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
 
-    def between(chunk: int) -> Ask:
-        hasher, one, two = Hasher(), Found(paths[0], buckets).load(chunk), Found(paths[1], buckets).load(chunk)
+    def still_open(chunk: int) -> Ask:
+        """The hashes of anchors, marked where one owns a string that is not known to repeat and may."""
+        hasher, one, two = Hasher(), results(both_path, buckets, chunk, 0), results(both_path, buckets, chunk, 1)
 
         def ask(row: int, raw: bytes, values: np.ndarray):
             if row not in one:
-                return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-            return owned(values, one[row], two.get(row), hasher, params)
+                return nothing
+            first, last, hashes, known = owned(values, one[row], two.get(row), hasher, params)
+            sums = np.concatenate([[0], np.cumsum(~known)])
+            return first, hashes, sums[last] > sums[first]
+
+        return ask
+
+    def open_strings(chunk: int) -> Ask:
+        """The strings of such anchors, in any document, marked where they are not known to repeat."""
+        hasher, one, two = Hasher(), results(both_path, buckets, chunk, 0), results(both_path, buckets, chunk, 1)
+        wanted = loaded(open_path, buckets, chunk)
+
+        def ask(row: int, raw: bytes, values: np.ndarray):
+            if row not in one or not len(wanted):
+                return nothing
+            first, last, hashes, known = owned(values, one[row], two.get(row), hasher, params)
+            some = among(hashes, wanted)
+            if not some.any():
+                return nothing
+            starts = np.flatnonzero(_marked(len(known), first[some], last[some]))
+            found = [np.zeros(0, np.uint64)]
+            for a in range(0, len(known), BLOCK):
+                inside = starts[(starts >= a) & (starts < a + BLOCK)]
+                if len(inside):
+                    found.append(hasher.strings(values[a : a + BLOCK + params.length - 1], params.length)[inside - a])
+            return starts, np.concatenate(found), ~known[starts]
 
         return ask
 
-    count(kept, f"{root}/open", between, True, parts, buckets)
-    sort(kept, f"{root}/open", paths[2], between, lambda raw, p: raw[p : p + params.length], forward, buckets)
+    count(kept, open_path, still_open, True, parts, buckets)
+    count(kept, strings_path, open_strings, True, parts, buckets)
+    sort(kept, strings_path, exact_path, open_strings, [Reading(lambda raw, p: raw[p : p + params.length], forward)], buckets)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [Found(p, buckets) for p in paths]
         current, held = None, []
         for b in batches:
             out = []
             for doc_id, row, chunk, text in rows_of([b], "doc_id", "row", "chunk", "text"):
                 if chunk != current:
-                    current, held = chunk, [f.load(chunk) for f in found]
+                    current, held = chunk, [results(*x) for x in ((both_path, buckets, chunk, 0), (both_path, buckets, chunk, 1), (exact_path, buckets, chunk, 0))]
                 raw = (text or "").encode()
                 starts, ends = spans_of(*(h.get(row) for h in held), params)
                 if not len(starts):
