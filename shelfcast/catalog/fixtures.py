@@ -1,7 +1,7 @@
 """Retail tables derived from the given tables, and the staged copies queries share.
 
 Stores are nations, a store's day is the lines shipped that day to its customers, and
-sales are cents. The published schedule (opening, promotion, holidays) follows from
+sales are cents. ``BySupplier`` makes stores of suppliers and their shipped lines. The published schedule (opening, promotion, holidays) follows from
 store and date.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,22 @@ SPEC = PanelSpec(
 HISTORY_END = dt.date(2001, 11, 4)
 FIRST_MONDAY = dt.date(1995, 1, 2)
 
-_staged: dict[tuple[str, str, str], DataFrame] = {}
+
+@dataclass(frozen=True)
+class BySupplier:
+    """An input folder whose stores are the suppliers, whose number grows with the tables."""
+
+    folder: str
+
+    def __str__(self) -> str:
+        return self.folder
+
+
+_staged: dict[tuple[str, str | BySupplier, str], DataFrame] = {}
 
 
 def shared(
-    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], staged: bool = False
+    spark: SparkSession, sf_dir: str | BySupplier, name: str, build: Callable[[], DataFrame], staged: bool = False
 ) -> DataFrame:
     """``build()`` staged once per application and input folder; ``staged`` says it is already."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -50,21 +62,31 @@ def _promo(store: Column, date: Column) -> Column:
     return on.cast("int")
 
 
-def derive_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _store_keys(spark: SparkSession, sf_dir: str | BySupplier) -> DataFrame:
+    """(n): the keys of all stores, 0, 1, 2 .."""
+    table, key = ("supplier", "s_suppkey") if isinstance(sf_dir, BySupplier) else ("nation", "n_nationkey")
+    return _table(spark, sf_dir, table).select(F.col(key).cast("int").alias("n"))
+
+
+def derive_daily(spark: SparkSession, sf_dir: str | BySupplier) -> DataFrame:
     """Daily facts: summed before the shuffle, so a hot store or customer is no matter."""
     lines = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
+        F.col("l_suppkey").cast("int").alias("supplier"),
         F.col("l_shipdate").cast("date").alias("Date"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
     )
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customers = _table(spark, sf_dir, "customer").select(
-        "c_custkey", F.col("c_nationkey").cast("int").alias("Store")
-    )
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if isinstance(sf_dir, BySupplier):
+        rows = rows.withColumnRenamed("supplier", "Store")
+    else:
+        customers = _table(spark, sf_dir, "customer").select(
+            "c_custkey", F.col("c_nationkey").cast("int").alias("Store")
+        )
+        rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     sold = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("Store", "Date")
+        rows.groupBy("Store", "Date")
         .agg(F.sum("cents").alias("cents"), F.count_distinct("o_custkey").alias("buyers"))
     )
     date, weekday = F.col("Date"), iso_weekday(F.col("Date"))
@@ -87,11 +109,11 @@ def derive_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def derive_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_nationkey").cast("int")
+def derive_stores(spark: SparkSession, sf_dir: str | BySupplier) -> DataFrame:
+    n = F.col("n")
     dated = n % 5 != 0
     member = n % 2 == 1
-    return _table(spark, sf_dir, "nation").select(
+    return _store_keys(spark, sf_dir).select(
         n.alias("Store"),
         F.substring(F.lit("abcd"), n % 4 + 1, F.lit(1)).alias("StoreType"),
         F.substring(F.lit("abc"), n % 3 + 1, F.lit(1)).alias("Assortment"),
@@ -109,13 +131,13 @@ def derive_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def derive_future(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_future(spark: SparkSession, sf_dir: str | BySupplier) -> DataFrame:
     """Published calendar of the days after the history, for three stores in four."""
     first = HISTORY_END + dt.timedelta(days=1)
     days = F.sequence(F.lit(first), F.lit(SPEC.serve_to))
     rows = (
-        _table(spark, sf_dir, "nation")
-        .select(F.col("n_nationkey").cast("int").alias("Store"))
+        _store_keys(spark, sf_dir)
+        .withColumnRenamed("n", "Store")
         .where(F.col("Store") % 4 != 0)
         .select("Store", F.explode(days).alias("Date"))
     )
@@ -137,13 +159,13 @@ def derive_future(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily(spark: SparkSession, sf_dir: str | BySupplier) -> DataFrame:
     return shared(spark, sf_dir, "daily", lambda: derive_daily(spark, sf_dir))
 
 
-def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stores(spark: SparkSession, sf_dir: str | BySupplier) -> DataFrame:
     return derive_stores(spark, sf_dir)
 
 
-def future(spark: SparkSession, sf_dir: str) -> DataFrame:
+def future(spark: SparkSession, sf_dir: str | BySupplier) -> DataFrame:
     return derive_future(spark, sf_dir)

@@ -949,7 +949,28 @@ def _classical_queries() -> dict[str, str]:
     }
 
 
-def statements() -> dict[str, str]:
+# The same statements over suppliers as stores: other keys and another sum of the lines.
+_SUPPLIERS = (
+    ("CAST(c_nationkey AS INT) AS Store", "CAST(l_suppkey AS INT) AS Store"),
+    (" JOIN customer ON o_custkey = c_custkey", ""),
+    ("FROM nation", "FROM supplier"),
+    ("n_nationkey", "s_suppkey"),
+)
+
+
+def by_supplier(statement: str) -> str:
+    for nation, supplier in _SUPPLIERS:
+        statement = statement.replace(nation, supplier)
+    return statement
+
+
+def statements(growing: tuple[str, ...] = ()) -> dict[str, str]:
+    """All statements; those named in ``growing`` also over suppliers."""
+    found = _statements()
+    return found | {f"supplier_{name}": by_supplier(found[name]) for name in growing}
+
+
+def _statements() -> dict[str, str]:
     return {
         **_file_queries(),
         **_panel_queries(),

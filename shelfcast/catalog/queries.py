@@ -39,8 +39,19 @@ def query(fn: Query) -> Query:
     return fn
 
 
+#: Queries that are also registered on the panel of suppliers, which grows with the tables.
+GROWING = (
+    "panel_summary", "features_promo", "features_competition", "features_rolling", "features_dow", "missing_rates",
+    "scores_all", "vocabulary", "encoded", "leakage_report", "serving_table", "request_status", "range_forecast",
+)
+
+
+def _by_supplier(fn: Query) -> Query:
+    return lambda spark, sf_dir: fn(spark, fx.BySupplier(sf_dir))
+
+
 def registered() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | {f"supplier_{name}": _by_supplier(_QUERIES[name]) for name in GROWING}
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -248,7 +259,7 @@ def _pred_rows(df: DataFrame) -> DataFrame:
 def baseline_lag7(spark, sf_dir):
     facts = fx.daily(spark, sf_dir)
     rows = evaluation.window_rows(facts, "test", SPEC)
-    return _pred_rows(baselines.same_day_last_week(rows, facts))
+    return _pred_rows(baselines.same_day_last_week(rows, evaluation.week_before(facts, "test", SPEC)))
 
 
 @query

@@ -34,7 +34,8 @@ def store_days(
     return spread.select("Store", F.explode(F.sequence(low, high)).alias("Date"))
 
 
-def _between(df: DataFrame, first: dt.date | None, last: dt.date | None) -> DataFrame:
+def between(df: DataFrame, first: dt.date | None, last: dt.date | None) -> DataFrame:
+    """Rows of ``first``..``last``, by bounds on the plain column, which reach the scan."""
     if first is not None:
         df = df.where(F.col("Date") >= F.lit(first))
     return df if last is None else df.where(F.col("Date") <= F.lit(last))
@@ -47,7 +48,7 @@ def complete_panel(
 
     Promotion and opening stay NULL on gap days, holiday flags get their usual value.
     """
-    rows = _between(facts.drop("DayOfWeek"), first, last)
+    rows = between(facts.drop("DayOfWeek"), first, last)
     panel = store_days(facts, first, last).join(rows, ["Store", "Date"], "left")
     return fill_calendar(panel.withColumn("is_gap", F.isnull("Sales")))
 
@@ -60,7 +61,7 @@ def complete_extended_panel(
     Future days have a row and no sales, so absence is told by the row itself. Gap
     days count as closed and without promotion.
     """
-    rows = _between(history.drop("DayOfWeek"), first, last).withColumn("_present", F.lit(True))
+    rows = between(history.drop("DayOfWeek"), first, last).withColumn("_present", F.lit(True))
     panel = store_days(history, first, last).join(rows, ["Store", "Date"], "left")
     panel = panel.withColumn("is_gap", F.isnull("_present")).drop("_present")
     return fill_calendar(panel, schedule=True)
@@ -91,6 +92,16 @@ def add_split(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.withColumn("split", split_label(F.col("Date"), spec))
 
 
+def split_days(split: str, spec: PanelSpec) -> tuple[dt.date | None, dt.date | None]:
+    """First and last day of a split; the outer ends are open."""
+    day = dt.timedelta(days=1)
+    return {
+        "train": (None, spec.valid_start - day),
+        "valid": (spec.valid_start, spec.test_start - day),
+        "test": (spec.test_start, None),
+    }[split]
+
+
 def modelling_rows(panel: DataFrame) -> DataFrame:
     """Observed rows without the customer count, which nobody knows in advance."""
     return panel.where(~F.col("is_gap")).drop("Customers")
@@ -124,7 +135,7 @@ def bounded_history(df: DataFrame, first: dt.date, last: dt.date, spec: PanelSpe
 
     A date filter does not move below a window, so it is put there: it reaches the scan.
     """
-    return _between(df, *readable_days(first, last, spec))
+    return between(df, *readable_days(first, last, spec))
 
 
 def panel_summary(panel: DataFrame) -> DataFrame:

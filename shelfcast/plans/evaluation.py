@@ -14,7 +14,7 @@ from shelfcast.operators.baselines import (
     store_medians,
     weekday_median,
 )
-from shelfcast.operators.panel import add_split, in_split, trading_days, trailing
+from shelfcast.operators.panel import between, split_days, trading_days, trailing
 from shelfcast.operators.scores import evaluate, long_forecasts
 from shelfcast.spec import PanelSpec
 
@@ -22,7 +22,12 @@ BASELINES = ("lag7_rolling", "last_week_tiled", "weekday_median_4w")
 
 
 def window_rows(facts: DataFrame, split: str, spec: PanelSpec) -> DataFrame:
-    return in_split(add_split(facts, spec), split)
+    return between(facts, *split_days(split, spec)).withColumn("split", F.lit(split))
+
+
+def week_before(facts: DataFrame, split: str, spec: PanelSpec) -> DataFrame:
+    """The days that lie seven days before those of a split."""
+    return between(facts, *[d and d - dt.timedelta(days=7) for d in split_days(split, spec)])
 
 
 def median_forecasts(facts: DataFrame, split: str, spec: PanelSpec, weeks: int = 4) -> DataFrame:
@@ -34,7 +39,7 @@ def baseline_forecasts(facts: DataFrame, split: str, spec: PanelSpec) -> DataFra
     """The three baselines side by side on the rows of a split."""
     cutoff: dt.date = spec.cutoff(split)
     rows = window_rows(facts, split, spec)
-    rows = same_day_last_week(rows, facts, "lag7_rolling")
+    rows = same_day_last_week(rows, week_before(facts, split, spec), "lag7_rolling")
     rows = last_week_repeated(rows, facts, cutoff, "last_week_tiled")
     return weekday_median(rows, facts, cutoff, 4, "weekday_median_4w")
 

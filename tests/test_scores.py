@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfcast.functions.targets import money
 from shelfcast.operators import baselines, calibration, scores
 from shelfcast.plans import evaluation, runs
+from shelfcast.sources.staging import stage
 
 ROWS = [
     ("m", 100, 90.0, 1), ("m", 200, 260.0, 1), ("m", 0, 5.0, 1), ("m", 0, 0.0, 0), ("m", 400, 380.0, 1),
@@ -89,6 +90,19 @@ def test_no_forecast_before_the_cutoff_is_read(spark):
     assert a.exceptAll(b).isEmpty()
 
 
+def test_windows_and_the_week_before_reach_the_scan(spark):
+    """Both sides of the lag-7 join read their own days only."""
+    facts, spec = stage(data.facts(spark), "facts"), data.SPEC
+    rows = evaluation.window_rows(facts, "valid", spec)
+    lagged = baselines.same_day_last_week(rows, evaluation.week_before(facts, "valid", spec))
+    plan = lagged._jdf.queryExecution().executedPlan().toString()
+    pushed = [x for x in plan.splitlines() if "PushedFilters" in x]
+    for first, last, x in (("2014-11-01", "2014-12-18", pushed[0]), ("2014-10-25", "2014-12-11", pushed[1])):
+        assert f"GreaterThanOrEqual(Date,{first})" in x and f"LessThanOrEqual(Date,{last})" in x
+    whole = baselines.same_day_last_week(rows, facts)
+    assert lagged.exceptAll(whole).isEmpty() and whole.exceptAll(lagged).isEmpty()
+
+
 def test_money_rounds_halves_up(spark):
     rows = spark.createDataFrame([(12127593.0,), (1.005,), (2.675,)], "p double")
     got = [r[0] for r in rows.select(money(F.col("p"), 0.975)).collect()]
