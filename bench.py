@@ -37,6 +37,9 @@ HEADLINE = (
     "range_forecast",
     "range_summary",
     "classical_forecast",
+    "supplier_scores_all",
+    "supplier_features_rolling",
+    "supplier_range_forecast",
     "gbt_scores",
 )
 
