@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import ctw, decontaminate, packing, private, quality, simhash, suffix, urlfilter, warc
+from shelfcast.llm import (
+    alignment, chat, ctw, decontaminate, packing, periods, private, quality, simhash, suffix, tokens, urlfilter, warc,
+)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,12 +22,17 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         suffix.op1_suffix_array_dedup,
         urlfilter.op9_url_filters,
         warc.op10_warc,
+        chat.op3_chat_formatting,
+        tokens.op11_token_counts,
+        periods.op12_periodic_runs,
+        alignment.op13_cross_tokenizer_alignment,
     )
     return {f.__name__: f for f in found}
 
 
 def statements() -> dict[str, str]:
     return {
+        "op3_chat_formatting": chat.ORACLE,
         "op7_benchmark_decontamination": decontaminate.ORACLE,
         "op9_url_filters": urlfilter.oracle(),
         "op10_warc": warc.ORACLE,
