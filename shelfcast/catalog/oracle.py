@@ -708,7 +708,7 @@ def _serving_queries() -> dict[str, str]:
     light = f"""{HISTORY},
       serving AS (SELECT *, Store AS store_key FROM history WHERE Date BETWEEN {TEST} AND {SERVE_TO})"""
     requests = """
-      asked AS (SELECT o_orderkey AS request_id, CAST(o_custkey % 27 AS INT) AS store_id,
+      asked AS (SELECT o_orderkey AS request_id, CAST(o_custkey % ((SELECT COUNT(*) FROM nation) + 2) AS INT) AS store_id,
           DATE '2001-09-16' + CAST(o_orderkey % 97 AS INT) AS start_date,
           DATE '2001-09-16' + CAST(o_orderkey % 97 AS INT) + CAST(o_custkey % 16 - 1 AS INT) AS end_date
         FROM orders),
@@ -949,6 +949,48 @@ def _classical_queries() -> dict[str, str]:
     }
 
 
+def _tree_queries() -> dict[str, str]:
+    """The exact parts of what the trees give, and a fixed ensemble spelt out."""
+    first = "CASE WHEN DayOfWeek IN (1, 2, 6) THEN CASE WHEN Promo <= 0.5 THEN -0.5 ELSE 1.125 END ELSE 0.25 END"
+    second = """CASE WHEN promo_count_14d <= 4.5 THEN CASE WHEN DAY(Date) <= 15 THEN 0.75 ELSE -1.25 END
+      ELSE CASE WHEN DayOfWeek = 5 THEN 2.0 ELSE 0.0625 END END"""
+    fold = "CAST('0x' || SUBSTR(MD5('42|' || Store || '|' || Date), 1, 7) AS INT) % 5"
+    own = ", ".join(f"CASE WHEN label = 'baseline' THEN {m} END AS {m}" for m in ("rmse", "mape", "wape"))
+    names = "full no_lags no_store no_dow_mean lr_0.03_leaves_256 lr_0.10_leaves_64 seed_1 seed_2 seed_3".split()
+    serving = _serving_queries()["range_forecast"].rsplit("SELECT request_id", 1)[0]
+    return {
+        "tree_scores": sql(
+            PANEL,
+            promo_features("panel", "pf"),
+            body=f"""SELECT Store, Date, ROUND(8 + 0.1 * CAST({first} AS DOUBLE) + 0.1 * CAST({second} AS DOUBLE) + 0.1 * 3, 6) AS score
+              FROM pf WHERE NOT is_gap""",
+        ),
+        "store_levels_by_fold": sql(
+            f"""t AS (SELECT Store, {fold} AS fold, LN(1 + Sales) AS y FROM daily WHERE Open = 1 AND Date < {VALID}),
+            f AS (SELECT DISTINCT fold FROM t),
+            m AS (SELECT f.fold, AVG(y) AS overall FROM f JOIN t ON t.fold <> f.fold GROUP BY 1),
+            o AS (SELECT f.fold, t.Store, SUM(y) AS s, COUNT(*) AS n FROM f JOIN t ON t.fold <> f.fold GROUP BY 1, 2)""",
+            body="""SELECT k.Store, k.fold, ROUND((COALESCE(s, 0) + 10 * overall) / (COALESCE(n, 0) + 10), 6) AS level
+              FROM (SELECT DISTINCT Store, fold FROM t) k JOIN m ON k.fold = m.fold
+              LEFT JOIN o ON k.fold = o.fold AND k.Store = o.Store""",
+        ),
+        "gbt_scored_days": sql(
+            BOTH_LONG,
+            f"""s AS (SELECT split, 'baseline' AS label, {metrics()} FROM both_long WHERE label = 'weekday_median_4w' GROUP BY 1),
+            both_labels AS (SELECT * FROM s UNION ALL SELECT split, 'model', n_scored, rmse, mape, wape FROM s)""",
+            body=f"SELECT split, label, n_scored, {own} FROM both_labels",
+        ),
+        "gbt_importance_total": "SELECT 41 AS n_features, 100.0 AS total_pct, 0 AS negative",
+        "gbt_variant_rounds": f"SELECT UNNEST({names}) AS name, TRUE AS ended_by_patience",
+        "gbt_submission_days": sql(body="SELECT Id, COALESCE(Open, 1) = 0 AS nothing_sold FROM calendar"),
+        "gbt_published": sql(body="SELECT Id FROM calendar"),
+        "gbt_range_days": serving
+        + """SELECT request_id, store_id, Date AS date, Open = 1 AS open, Promo = 1 AS promo,
+          CAST(Sales AS DOUBLE) AS actual_sales, TRUE AS said FROM said""",
+        "gbt_saved_model": sql(body=f"SELECT COUNT(*) AS rows, 0 AS rows_differ FROM daily WHERE Date BETWEEN {TEST} AND {TEST_END}"),
+    }
+
+
 # The same statements over suppliers as stores: other keys and another sum of the lines.
 _SUPPLIERS = (
     ("CAST(c_nationkey AS INT) AS Store", "CAST(l_suppkey AS INT) AS Store"),
@@ -982,4 +1024,5 @@ def _statements() -> dict[str, str]:
         **_run_queries(),
         **_serving_queries(),
         **_classical_queries(),
+        **_tree_queries(),
     }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from shelfcast.operators import baselines, calibration, checks, panel, profile,
 from shelfcast.operators import history as hist
 from shelfcast.operators import selection as sel
 from shelfcast.operators import vocabulary as vocab
-from shelfcast.plans import classical, evaluation, model, runs, serving
+from shelfcast.plans import boosting, classical, evaluation, model, runs, serving
 from shelfcast.plans import features as feats
 from shelfcast.sources import files
 from shelfcast.sources.files import extended_history
@@ -244,7 +243,7 @@ def target_transform(spark, sf_dir):
 @query
 def missing_rates(spark, sf_dir):
     table = _features(spark, sf_dir)
-    return rounded(sel.missing_rates(table, sel.feature_names(table)), missing_pct=4)
+    return rounded(sel.missing_rates(table, sel.feature_names(table, SPEC)), missing_pct=4)
 
 
 # Baselines and scores ---------------------------------------------------------------
@@ -604,7 +603,7 @@ def ablation_table(spark, sf_dir):
 def _serving(spark, sf_dir) -> DataFrame:
     def build() -> DataFrame:
         facts = fx.daily(spark, sf_dir)
-        names = sel.without(sel.feature_names(_features(spark, sf_dir)), ("lag_",))
+        names = sel.without(sel.feature_names(_features(spark, sf_dir), SPEC), ("lag_",))
         return serving.serving_table(
             facts,
             fx.future(spark, sf_dir),
@@ -618,12 +617,13 @@ def _serving(spark, sf_dir) -> DataFrame:
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    """One request per order; some for unknown stores, reversed or out of range."""
+    """One request per order, for all stores; some for unknown stores, reversed or out of range."""
+    n_stores = fx.stores(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     start = F.date_add(F.lit(dt.date(2001, 9, 16)), (F.col("o_orderkey") % 97).cast("int"))
     return orders.select(
         F.col("o_orderkey").alias("request_id"),
-        (F.col("o_custkey") % 27).cast("int").alias("store_id"),
+        (F.col("o_custkey") % (n_stores + 2)).cast("int").alias("store_id"),
         start.alias("start_date"),
         F.date_add(start, (F.col("o_custkey") % 16 - 1).cast("int")).alias("end_date"),
     )
@@ -757,7 +757,8 @@ def classical_scores(spark, sf_dir):
 
 # Trees ------------------------------------------------------------------------------
 
-SETTINGS = model.TreeSettings(rounds=8, leaves=16, min_rows=20, learning_rate=0.2)
+#: Small trees that learn fast, so that patience ends growth after some tens of rounds.
+SETTINGS = boosting.TreeSettings(patience=8, leaves=16, min_rows=20, learning_rate=0.2)
 _fitted: dict[tuple[str, str], model.Fitted] = {}
 
 
@@ -770,7 +771,7 @@ def _chosen(spark, sf_dir) -> model.Fitted:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _fitted:
         table = _feature_table(spark, sf_dir)
-        names = sel.feature_names(table)
+        names = sel.feature_names(table, SPEC)
         _fitted[key] = model.fit_variant(
             table, names, _vocabulary(spark, sf_dir), model.CHOSEN, SETTINGS
         )
@@ -797,12 +798,57 @@ def store_levels(spark, sf_dir):
     return rounded(model.store_levels(rows, SETTINGS.level_smoothing), level=6)
 
 
+@query
+def store_levels_by_fold(spark, sf_dir):
+    """The number that stands for a store in a training row, from the days outside the row's fold."""
+    rows = panel.trading_days(panel.in_split(_feature_table(spark, sf_dir), "train"))
+    levels = model.fold_levels(rows, SETTINGS.level_smoothing, SETTINGS.folds, SETTINGS.seed)
+    return rounded(levels, level=6)
+
+
+#: A small ensemble over weekday, promotion, day of the month and promotion days of two weeks.
+FIXED_TREES = [
+    {0: (0, None, [1.0, 2.0, 6.0], None), 1: (1, 0.5, None, None), 2: (None, None, None, 0.25),
+     3: (None, None, None, -0.5), 4: (None, None, None, 1.125)},
+    {0: (3, 4.5, None, None), 1: (2, 15.0, None, None), 2: (0, None, [5.0], None), 3: (None, None, None, 0.75),
+     4: (None, None, None, -1.25), 5: (None, None, None, 2.0), 6: (None, None, None, 0.0625)},
+    {0: (None, None, None, 3.0)},
+]
+
+
+@query
+def tree_scores(spark, sf_dir):
+    """A fixed ensemble, kept as a node table and read back, over every row of the feature table."""
+    path = stage_path(spark, "nodes")
+    boosting.node_table(spark, FIXED_TREES).write.parquet(path)
+    ensemble = boosting.Ensemble(8.0, 0.1, boosting.trees_of(spark.read.parquet(path)), [])
+    x = F.array(*[F.col(c).cast("double") for c in ("DayOfWeek", "Promo", "day", "promo_count_14d")])
+    rows = _feature_table(spark, sf_dir).select("Store", "Date", ensemble.score(x).alias("score"))
+    return rounded(rows, score=6)
+
+
 @query
 def gbt_scores(spark, sf_dir):
-    """Model and baseline on both held-out windows."""
-    return model.holdout_scores(
+    """Model and baseline on both held-out windows, the baseline first."""
+    table = model.holdout_scores(
         _chosen(spark, sf_dir), _feature_table(spark, sf_dir), _median_scores(spark, sf_dir), SPEC
     )
+    return scores.in_label_order(table, ["baseline", "model"])
+
+
+@query
+def gbt_scored_days(spark, sf_dir):
+    """What of the scores does not depend on the trees: days scored, and the baseline's errors."""
+    table = gbt_scores(spark, sf_dir)
+    own = {m: F.when(F.col("label") == "baseline", F.round(m, 4)) for m in scores.METRICS}
+    return table.select("split", "label", "n_scored", *[c.alias(m) for m, c in own.items()])
+
+
+@query
+def gbt_headline(spark, sf_dir):
+    """The model against the baseline on the test window."""
+    table = gbt_scores(spark, sf_dir).where("split = 'test'")
+    return scores.headline(table, model="model", baseline="baseline")
 
 
 @query
@@ -810,37 +856,98 @@ def gbt_importance(spark, sf_dir):
     return _chosen(spark, sf_dir).importance(20)
 
 
+@query
+def gbt_importance_total(spark, sf_dir):
+    """All shares of the gain: one for each feature, none negative, 100 in all."""
+    return _chosen(spark, sf_dir).importance().agg(
+        F.count(F.lit(1)).alias("n_features"),
+        F.round(F.sum("gain_pct"), 6).alias("total_pct"),
+        F.count_if(F.col("gain_pct") < 0).alias("negative"),
+    )
+
+
+def _experiments(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The tables of runs and metrics that all experiments were logged in, once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _logged:
+        table = _feature_table(spark, sf_dir)
+        baseline = _median_scores(spark, sf_dir).where(F.col("split") == "valid")
+        root = stage_path(spark, "runs")
+        names = sel.feature_names(table, SPEC)
+        model.run_experiments(table, names, _vocabulary(spark, sf_dir), baseline, SPEC, SETTINGS, root)
+        _logged[key] = root
+    root = _logged[key]
+    return runs.read_table(spark, root, "runs"), runs.read_table(spark, root, "run_metrics")
+
+
+_logged: dict[tuple[str, str], str] = {}
+
+
 @query
 def gbt_variants(spark, sf_dir):
     """Every experiment, run and logged, then read back from the run tables."""
-    table = _feature_table(spark, sf_dir)
-    baseline = _median_scores(spark, sf_dir).where(F.col("split") == "valid")
-    root = stage_path(spark, "runs")
-    model.run_experiments(
-        table,
-        sel.feature_names(table),
-        _vocabulary(spark, sf_dir),
-        baseline,
-        SPEC,
-        replace(SETTINGS, rounds=2),
-        root,
-    )
-    logged = runs.read_table(spark, root, "runs"), runs.read_table(spark, root, "run_metrics")
-    return runs.run_values(*logged, "valid_mape")
+    return runs.run_values(*_experiments(spark, sf_dir), "valid_mape")
+
+
+@query
+def gbt_variant_rounds(spark, sf_dir):
+    """Experiments and whether patience ended them: fewer rounds grown than the bound, the best before."""
+    logged = _experiments(spark, sf_dir)
+    best = runs.run_values(*logged, "best_round").select("name", F.col("value").alias("best"))
+    grown = runs.run_values(*logged, "rounds_grown").select("name", F.col("value").alias("grown"))
+    ended = (F.col("grown") < SETTINGS.rounds) & F.col("best").between(1, F.col("grown") - SETTINGS.patience)
+    return best.join(grown, "name").select("name", ended.alias("ended_by_patience"))
+
+
+@query
+def gbt_noise_floor(spark, sf_dir):
+    """How far the logged score moves between runs that differ in their seed."""
+    return runs.noise_floor(gbt_variants(spark, sf_dir), model.SEED_RUNS)
+
+
+@query
+def gbt_against_noise(spark, sf_dir):
+    others = [v for v in model.VARIANTS if v not in model.SEED_RUNS]
+    return runs.against_noise(gbt_variants(spark, sf_dir), model.SEED_RUNS, others)
+
+
+@query
+def gbt_ablation(spark, sf_dir):
+    """The logged scores of each experiment against the full one and the baseline."""
+    table = runs.logged_scores(*_experiments(spark, sf_dir))
+    base = _median_scores(spark, sf_dir).where(F.col("split") == "valid").select("label", *scores.METRICS)
+    return runs.ablation_table(table.unionByName(base), "baseline")
 
 
 @query
 def gbt_refit_submission(spark, sf_dir):
     """Refit on all trading days at the chosen rounds; forecast the published ids."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#refit")
     chosen = _chosen(spark, sf_dir)
-    names = chosen.design.features
-    table = _feature_table(spark, sf_dir)
-    refit = model.fit(
-        table, names, _vocabulary(spark, sf_dir), SETTINGS, rounds=chosen.best_round
-    )
-    test = chosen.predict(panel.in_split(table, "test")).withColumn("label", F.lit("model"))
+    if key not in _fitted:
+        table = _feature_table(spark, sf_dir)
+        _fitted[key] = model.fit(
+            table, chosen.design.features, _vocabulary(spark, sf_dir), SETTINGS, rounds=chosen.best_round
+        )
+    test = chosen.predict(panel.in_split(_feature_table(spark, sf_dir), "test")).withColumn("label", F.lit("model"))
     factor = calibration.best_multiplier(test).select("applied").first()["applied"]
-    return model.submission(refit, fx.future(spark, sf_dir), _serving(spark, sf_dir), factor)
+    return model.submission(_fitted[key], fx.future(spark, sf_dir), _serving(spark, sf_dir), factor)
+
+
+@query
+def gbt_submission_days(spark, sf_dir):
+    """Ids of the model's submission and whether nothing is sold."""
+    return gbt_refit_submission(spark, sf_dir).select("Id", (F.col("Sales") == 0).alias("nothing_sold"))
+
+
+@query
+def gbt_published(spark, sf_dir):
+    """Ids of the model's submission in the file that is written once its checks have passed."""
+    path = stage_path(spark, "published")
+    serving_rows = _serving(spark, sf_dir).where(F.isnull("Sales"))
+    names = [c for c in _chosen(spark, sf_dir).design.features if c in serving_rows.columns]
+    files.publish_submission(gbt_refit_submission(spark, sf_dir), fx.future(spark, sf_dir), serving_rows, names, path)
+    return spark.read.schema("Id long, Sales double").option("header", True).csv(path).select("Id")
 
 
 @query
@@ -852,6 +959,14 @@ def gbt_range_forecast(spark, sf_dir):
     return days
 
 
+@query
+def gbt_range_days(spark, sf_dir):
+    """The days that the model's answers hold, and that nothing is forecast for closed ones."""
+    days = gbt_range_forecast(spark, sf_dir)
+    said = F.when(F.col("open"), F.col("predicted_sales") > 0).otherwise(F.col("predicted_sales") == 0)
+    return days.select("request_id", "store_id", "date", "open", "promo", "actual_sales", said.alias("said"))
+
+
 def _served(spark, sf_dir) -> model.Fitted:
     key = (spark.sparkContext.applicationId, f"{sf_dir}#served")
     if key not in _fitted:
@@ -875,23 +990,36 @@ def gbt_skew_report(spark, sf_dir):
 def gbt_holdout_log(spark, sf_dir):
     """The held-out scores as a run, read back from the run tables."""
     root = stage_path(spark, "runs")
-    runs.log_holdout(spark, root, gbt_scores(spark, sf_dir), {"config": model.CHOSEN})
+    chosen = _chosen(spark, sf_dir)
+    params = vars(SETTINGS) | {"config": model.CHOSEN, "n_features": len(chosen.design.features), "best_round": chosen.best_round}
+    runs.log_holdout(spark, root, gbt_scores(spark, sf_dir), params)
     logged = runs.read_table(spark, root, "runs"), runs.read_table(spark, root, "run_metrics")
-    return runs.run_values(*logged, "headline_improvement_mape_pct")
+    return runs.run_values(*logged, "test/model/improvement_mape_pct")
+
+
+def _saved(spark, sf_dir) -> str:
+    """Folder of the served model, written with the test scores of model and baseline."""
+    path = stage_path(spark, "model")
+    table = gbt_scores(spark, sf_dir).where("split = 'test'")
+    through = SPEC.test_start - dt.timedelta(days=1)
+    model.save_model(_served(spark, sf_dir), path, model.CHOSEN, through, table)
+    return path
 
 
 @query
 def gbt_provenance(spark, sf_dir):
     """What the saved model says about itself, after it was written and read again."""
-    path = stage_path(spark, "model")
-    scored = model.split_scores(
-        _chosen(spark, sf_dir), _feature_table(spark, sf_dir), "model", SPEC, ("test",)
-    ).first()
-    through = SPEC.test_start - dt.timedelta(days=1)
-    model.save_model(
-        _served(spark, sf_dir), path, model.CHOSEN, through, {m: scored[m] for m in scores.METRICS}
-    )
-    return model.provenance(spark, path, _serving(spark, sf_dir))
+    return model.provenance(spark, _saved(spark, sf_dir), _serving(spark, sf_dir))
+
+
+@query
+def gbt_saved_model(spark, sf_dir):
+    """Forecasts of the test window that the model gives otherwise after it was written and read again."""
+    again = model.load_model(spark, _saved(spark, sf_dir))
+    rows = panel.in_split(_feature_table(spark, sf_dir), "test")
+    both = again.predict(_served(spark, sf_dir).predict(rows, "before"), "after")
+    differs = ~F.col("before").eqNullSafe(F.col("after"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(differs).alias("rows_differ"))
 
 
 @query

@@ -28,8 +28,7 @@ def store_attributes(stores: DataFrame, panel_stores: DataFrame) -> DataFrame:
         .scalar()
     )
     return (
-        stores.withColumn("competition_distance_log", F.log1p(F.coalesce("CompetitionDistance", widest)))
-        .withColumn("competition_distance_missing", F.isnull("CompetitionDistance").cast("int"))
+        stores.withColumns(distance_columns(widest))
         .withColumn(
             "competitor_since",
             month_start(F.col("CompetitionOpenSinceYear"), F.col("CompetitionOpenSinceMonth")),
@@ -41,6 +40,13 @@ def store_attributes(stores: DataFrame, panel_stores: DataFrame) -> DataFrame:
     )
 
 
+def distance_columns(widest: Column) -> dict[str, Column]:
+    return {
+        "competition_distance_log": F.log1p(F.coalesce("CompetitionDistance", widest)),
+        "competition_distance_missing": F.isnull("CompetitionDistance").cast("int"),
+    }
+
+
 def programme_columns(date: Column) -> dict[str, Column]:
     active = F.coalesce((F.col("Promo2") == 1) & (date >= F.col("programme_since")), F.lit(False))
     restarts = F.array_contains("programme_months", month_abbreviation(date))

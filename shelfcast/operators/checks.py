@@ -36,13 +36,15 @@ def leakage_report(
     ``rows`` picks the rows to compare. A column that differs read a sale it could not
     have known. The panel has to reach as far as a leak might: days that are cut off
     are unknown in both builds. Both builds go through one pass: the blinded panel is a
-    second set of stores, told apart by the sign of ``Store``, which no feature reads.
+    second set of stores, numbered on from the first (their smallest and largest number come
+    to the driver), and a store is told apart by its number, which no feature reads.
     """
     blind = panel.withColumn("Sales", F.when(F.col("Date") < F.lit(cutoff), F.col("Sales")))
-    shadow = lambda df: df.withColumn("Store", -F.col("Store") - 1)
-    built = build(panel.unionByName(shadow(blind))).where(rows)
-    is_blind = F.col("Store") < 0
-    key = F.when(is_blind, -F.col("Store") - 1).otherwise(F.col("Store"))
+    low, high = panel.agg(F.min("Store"), F.max("Store")).first()
+    shift = 0 if low is None else high - low + 1
+    built = build(panel.unionByName(blind.withColumn("Store", F.col("Store") + F.lit(shift)))).where(rows)
+    is_blind = F.col("Store") > F.lit(high)
+    key = F.when(is_blind, F.col("Store") - F.lit(shift)).otherwise(F.col("Store"))
     own = [F.max(F.when(~is_blind, F.col(c).cast("double"))).alias(f"a_{c}") for c in columns]
     other = [F.max(F.when(is_blind, F.col(c).cast("double"))).alias(f"b_{c}") for c in columns]
     pairs = built.groupBy(key.alias("Store"), "Date").agg(*own, *other)
@@ -142,6 +144,17 @@ def submission_report(submission: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def require_sound(report: DataFrame, empty_rows: DataFrame) -> None:
+    """Raise if a submission's report counts a fault or a row without features."""
+    counts = report.first().asDict()
+    faults = {k: n for k, n in counts.items() if k not in ("rows", "expected_rows") and n}
+    n_empty = empty_rows.count()
+    if n_empty:
+        faults["rows_without_features"] = n_empty
+    if faults:
+        raise ValueError("; ".join(f"{n} {k}" for k, n in faults.items()))
+
+
 def rows_without_features(df: DataFrame, features: list[str]) -> DataFrame:
     """Rows in which every feature is NULL."""
     empty = F.lit(True)

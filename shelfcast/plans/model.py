@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.targets import closed_rule, from_log, money, to_log
@@ -17,6 +17,7 @@ from shelfcast.operators.panel import in_split, trading_days
 from shelfcast.operators.scores import METRICS, evaluate, improvement
 from shelfcast.operators.selection import CATEGORICAL, without
 from shelfcast.operators.vocabulary import add_codes
+from shelfcast.plans.boosting import Ensemble, TreeSettings, grow, node_table, trees_of
 from shelfcast.plans.runs import append_run
 from shelfcast.sources.staging import stage
 from shelfcast.spec import PanelSpec
@@ -25,30 +26,10 @@ MISSING = -1.0
 CODED = tuple(c for c in CATEGORICAL if c != "Store")
 
 
-@dataclass(frozen=True)
-class TreeSettings:
-    """What the trees are grown with; ``rounds`` is the most that may be grown."""
-
-    rounds: int = 200
-    learning_rate: float = 0.05
-    leaves: int = 128
-    min_rows: int = 50
-    row_share: float = 0.8
-    feature_share: float = 0.8
-    bins: int = 64
-    level_smoothing: float = 10.0
-    seed: int = 42
-
-    @property
-    def depth(self) -> int:
-        return max(1, round(math.log2(self.leaves)))
-
-
 @dataclass(frozen=True)
 class Variant:
     dropped: tuple[str, ...] = ()
     overrides: tuple[tuple[str, float], ...] = ()
-    rationale: str = ""
 
     def settings(self, base: TreeSettings) -> TreeSettings:
         return replace(base, **dict(self.overrides))
@@ -56,21 +37,18 @@ class Variant:
 
 # The experiments, by name, with the columns dropped and settings changed.
 VARIANTS = {
-    "full": Variant(rationale="every feature; what the others are compared with"),
-    "no_lags": Variant(dropped=("lag_",), rationale="do single-day lags add to the rolling level"),
-    "no_store": Variant(dropped=("Store",), rationale="is store identity in the other features"),
-    "no_dow_mean": Variant(dropped=("dow_mean_4", "dow_ratio"), rationale="is the weekday level needed"),
-    "lr_0.03_leaves_256": Variant(
-        overrides=(("learning_rate", 0.03), ("leaves", 256)), rationale="slower, larger trees"
-    ),
-    "lr_0.10_leaves_64": Variant(
-        overrides=(("learning_rate", 0.10), ("leaves", 64)), rationale="faster, smaller trees"
-    ),
-    "seed_1": Variant(overrides=(("seed", 1),), rationale="same settings, other seed"),
-    "seed_2": Variant(overrides=(("seed", 2),), rationale="same settings, other seed"),
-    "seed_3": Variant(overrides=(("seed", 3),), rationale="same settings, other seed"),
+    "full": Variant(),
+    "no_lags": Variant(dropped=("lag_",)),
+    "no_store": Variant(dropped=("Store",)),
+    "no_dow_mean": Variant(dropped=("dow_mean_4", "dow_ratio")),
+    "lr_0.03_leaves_256": Variant(overrides=(("learning_rate", 0.03), ("leaves", 256))),
+    "lr_0.10_leaves_64": Variant(overrides=(("learning_rate", 0.10), ("leaves", 64))),
+    "seed_1": Variant(overrides=(("seed", 1),)),
+    "seed_2": Variant(overrides=(("seed", 2),)),
+    "seed_3": Variant(overrides=(("seed", 3),)),
 }
 CHOSEN = "no_lags"
+#: Runs that differ in nothing but the seed.
 SEED_RUNS = ["full", "seed_1", "seed_2", "seed_3"]
 
 
@@ -90,6 +68,33 @@ def store_levels(train: DataFrame, smoothing: float) -> DataFrame:
     return known.unionByName(unseen)
 
 
+def fold_of(seed: int, folds: int) -> Column:
+    """The fold of a store's day, from a seeded digest: the same wherever the row lies."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "Store", F.col("Date").cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("int") % folds
+
+
+def fold_levels(train: DataFrame, smoothing: float, folds: int, seed: int) -> DataFrame:
+    """(Store, fold, level): each store's level from the days that are not in the fold.
+
+    A training row gets the level of its own fold, which its label is not in. One pass sums by
+    store and fold; a level is the store's sums less the fold's.
+    """
+    label = to_log(F.col("Sales"))
+    sums = train.groupBy("Store", fold_of(seed, folds).alias("fold")).agg(F.sum(label).alias("s"), F.count(label).alias("n"))
+    sums = stage(sums, "fold-sums")
+    of_fold = sums.groupBy("fold").agg(F.sum("s").alias("fold_s"), F.sum("n").alias("fold_n"))
+    totals = of_fold.agg(F.sum("fold_s").alias("s"), F.sum("fold_n").alias("n"))
+    s, n = totals.select("s").scalar(), totals.select("n").scalar()
+    rest = F.coalesce(F.try_divide(s - F.col("fold_s"), n - F.col("fold_n")), s / n)
+    others = of_fold.select("fold", rest.alias("overall"))
+    store = Window.partitionBy("Store")  # a row for each fold
+    left_s, left_n = F.sum("s").over(store) - F.col("s"), F.sum("n").over(store) - F.col("n")
+    without_own = sums.select("Store", "fold", left_s.alias("s"), left_n.alias("n"))
+    level = (F.col("s") + F.col("overall") * smoothing) / (F.col("n") + smoothing)
+    return without_own.join(F.broadcast(others), "fold").select("Store", "fold", level.alias("level"))
+
+
 @dataclass
 class Design:
     """How feature rows become vectors: frozen vocabulary, levels and column order."""
@@ -99,6 +104,8 @@ class Design:
     levels: DataFrame
     nullable: list[str]
     sizes: dict[str, int]
+    folds: DataFrame | None = None
+    folding: tuple[int, int] | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -117,14 +124,23 @@ class Design:
         value = F.col(name).cast("double")
         return F.coalesce(value, F.lit(MISSING)).alias(name) if name in self.nullable else value.alias(name)
 
-    def vectors(self, df: DataFrame, *keep: str) -> DataFrame:
-        """``keep`` columns of ``df`` and the ``features`` vector."""
+    def _with_levels(self, rows: DataFrame, training: bool) -> DataFrame:
+        unseen = self.levels.where(F.isnull("Store")).agg(F.max("level").alias("l")).scalar()
+        if training:
+            rows = rows.withColumn("fold", fold_of(*self.folding)).join(self.folds, ["Store", "fold"], "left")
+        else:
+            rows = rows.join(self.levels.where(F.isnotnull("Store")), "Store", "left")
+        return rows.withColumn("_level", F.coalesce("level", unseen))
+
+    def vectors(self, df: DataFrame, *keep: str, training: bool = False) -> DataFrame:
+        """``keep`` columns of ``df`` and the ``features`` vector.
+
+        ``training`` rows get their store's level without their own fold.
+        """
         coded = [c for c in CODED if c in self.features]
         rows = add_codes(df, self.vocabulary, tuple(coded))
         if "Store" in self.features:
-            unseen = self.levels.where(F.isnull("Store")).agg(F.max("level").alias("l")).scalar()
-            known = self.levels.where(F.isnotnull("Store"))
-            rows = rows.join(known, "Store", "left").withColumn("_level", F.coalesce("level", unseen))
+            rows = self._with_levels(rows, training)
         inputs = [self._input(f) for f in self.features]
         flags = [F.isnull(c).cast("double").alias(f"{c}_missing") for c in self.nullable]
         kept = [F.col(k).alias(f"_keep_{k}") for k in keep]
@@ -146,76 +162,48 @@ def make_design(
     always = ("lag_", "roll_", "trend_", "open_rate_", "dow_mean", "dow_ratio")
     nullable = [f for f in numeric if nulls[f] or f.startswith(always)]
     levels = stage(store_levels(train, settings.level_smoothing), "levels")
-    return Design(features, vocabulary, levels, nullable, sizes)
+    folds = stage(fold_levels(train, settings.level_smoothing, settings.folds, settings.seed), "fold-levels")
+    return Design(features, vocabulary, levels, nullable, sizes, folds, (settings.seed, settings.folds))
 
 
 @dataclass
 class Fitted:
     design: Design
-    model: GBTRegressionModel
-    best_round: int
-    train_rmse_log: float | None = None
-    valid_rmse_log: float | None = None
+    model: Ensemble
+
+    @property
+    def best_round(self) -> int:
+        return self.model.rounds
 
     def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
         """Add the forecast: back from logs, not negative, nothing on closed days."""
-        scored = self.model.transform(self.design.vectors(df, *df.columns))
-        pred = closed_rule(from_log(F.col("prediction")), F.col("Open"))
-        return scored.withColumn(name, pred).drop("features", "prediction")
+        rows = self.design.vectors(df, *df.columns)
+        score = self.model.score(vector_to_array("features"))
+        return rows.withColumn(name, closed_rule(from_log(score), F.col("Open"))).drop("features")
 
     def importance(self, top: int | None = None) -> DataFrame:
         table = importance(self.design.levels.sparkSession, self.model, self.design.columns)
         return table if top is None else table.limit(top)
 
 
-def importance(spark: SparkSession, model: GBTRegressionModel, columns: list[str]) -> DataFrame:
+def importance(spark: SparkSession, model: Ensemble, columns: list[str]) -> DataFrame:
     """Share of the total gain per feature, in percent, the largest first.
 
     A feature and its missing-value flag count as one.
     """
     gains: dict[str, float] = {}
-    for column, gain in zip(columns, model.featureImportances.toArray()):
+    for column, gain in zip(columns, model.gains, strict=True):
         name = column.removesuffix("_missing") if column.removesuffix("_missing") in columns else column
-        gains[name] = gains.get(name, 0.0) + float(gain)
+        gains[name] = gains.get(name, 0.0) + gain
     total = sum(gains.values()) or 1.0
     rows = [(name, gain / total * 100) for name, gain in gains.items()]
     table = spark.createDataFrame(rows, "feature string, gain_pct double")
     return table.orderBy(F.desc("gain_pct"), "feature")
 
 
-def _trees(settings: TreeSettings, rounds: int) -> GBTRegressor:
-    return GBTRegressor(
-        labelCol="label",
-        featuresCol="features",
-        lossType="squared",
-        maxIter=rounds,
-        stepSize=settings.learning_rate,
-        maxDepth=settings.depth,
-        maxBins=settings.bins,
-        minInstancesPerNode=settings.min_rows,
-        subsamplingRate=settings.row_share,
-        featureSubsetStrategy=str(settings.feature_share),
-        seed=settings.seed,
-    )
-
-
-def _labelled(design: Design, rows: DataFrame) -> DataFrame:
+def _labelled(design: Design, rows: DataFrame, training: bool) -> DataFrame:
     labelled = trading_days(rows).withColumn("label", to_log(F.col("Sales")))
-    return design.vectors(labelled, "label").persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def _tune(settings: TreeSettings, train: DataFrame, valid: DataFrame) -> tuple:
-    """Grow all rounds, find the best on ``valid``, and keep just those.
-
-    Returns the model, its rounds and its log errors on train and valid.
-    """
-    model = _trees(settings, settings.rounds).fit(train)
-    errors = model.evaluateEachIteration(valid, "squared")
-    best = min(range(len(errors)), key=errors.__getitem__)
-    if best + 1 < len(errors):
-        model = _trees(settings, best + 1).fit(train)
-    on_train = model.evaluateEachIteration(train, "squared")[best]
-    return model, best + 1, math.sqrt(on_train), math.sqrt(errors[best])
+    return design.vectors(labelled, "label", training=training)
 
 
 def fit(
@@ -228,23 +216,13 @@ def fit(
 ) -> Fitted:
     """Grow trees on the trading days of ``train``.
 
-    With ``valid`` the number of rounds is the one with the least validation error,
-    and the returned model has just those. Otherwise ``rounds`` trees are grown.
+    With ``valid`` the number of rounds is the one with the least validation error.
+    Otherwise ``rounds`` trees are grown.
     """
     train = trading_days(train)
     design = make_design(train, features, vocabulary, settings)
-    rows = _labelled(design, train)
-    try:
-        if valid is None:
-            grown = rounds or settings.rounds
-            return Fitted(design, _trees(settings, grown).fit(rows), grown)
-        held_out = _labelled(design, valid)
-        try:
-            return Fitted(design, *_tune(settings, rows, held_out))
-        finally:
-            held_out.unpersist()
-    finally:
-        rows.unpersist()
+    held_out = None if valid is None else _labelled(design, valid, False)
+    return Fitted(design, grow(_labelled(design, train, True), settings, held_out, rounds))
 
 
 def fit_variant(
@@ -275,12 +253,14 @@ def run_experiments(
     settings: TreeSettings,
     root: str,
     only: list[str] | None = None,
+    at_once: int = 8,
 ) -> list[str]:
     """Fit each variant, score it on valid and append it to the run tables.
 
-    Train and valid become vectors once; a variant that drops features slices them.
-    ``baseline`` is the score row that improvements are measured against. The driver
-    handles one row of scores per variant; fitting and scoring are Spark jobs.
+    Train and valid become vectors once; a variant that drops features slices them. ``at_once``
+    variants are fitted at the same time as concurrent jobs, each in a scheduler pool of its own;
+    their runs are appended one after another. ``baseline`` is the score row that improvements are
+    measured against. The driver handles one row of scores per variant.
     """
     spark = table.sparkSession
     base = baseline.select(*METRICS).first()
@@ -288,47 +268,49 @@ def run_experiments(
     design = make_design(train, names, vocabulary, settings)
     label = to_log(F.col("Sales"))
     level = StorageLevel.MEMORY_AND_DISK
-    train_rows = design.vectors(train.withColumn("label", label), "label").persist(level)
+    train_rows = design.vectors(train.withColumn("label", label), "label", training=True).persist(level)
     valid_rows = design.vectors(valid.withColumn("label", label), "label", "Sales", "Open").persist(level)
     window = trading_days(valid).agg(F.min("Date").alias("a"), F.max("Date").alias("b")).first()
     n_train = train_rows.count()
+
+    def experiment(name: str) -> tuple:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"variant-{name}")
+        chosen = VARIANTS[name]
+        own = chosen.settings(settings)
+        kept = set(without(names, chosen.dropped))
+        columns = [c for c in design.columns if c.removesuffix("_missing") in kept or c in kept]
+        slicer = VectorSlicer(inputCol="all", outputCol="features", indices=[design.columns.index(c) for c in columns])
+        on_train = slicer.transform(train_rows.withColumnRenamed("features", "all")).drop("all")
+        on_valid = slicer.transform(valid_rows.withColumnRenamed("features", "all")).drop("all")
+        trees = grow(on_train, own, trading_days(on_valid))
+        pred = closed_rule(from_log(trees.score(vector_to_array("features"))), F.col("Open"))
+        score = evaluate(on_valid.select("Sales", "Open", pred.alias("pred")), (), scale=spec.money_scale).first()
+        metrics = {
+            "best_round": trees.rounds,
+            "rounds_grown": len(trees.valid_errors),
+            "train_error": trees.train_errors[trees.rounds - 1],
+            "valid_error": trees.valid_errors[trees.rounds - 1],
+        }
+        for m in METRICS:
+            metrics[f"valid_{m}"] = score[m]
+            metrics[f"gain_{m}_pct"] = (1 - score[m] / base[m]) * 100
+        params = vars(own) | {
+            "n_features": len(kept),
+            "dropped": ",".join(chosen.dropped),
+            "train_rows": n_train,
+            "valid_from": window["a"],
+            "valid_to": window["b"],
+        }
+        gains = [(r["feature"], r["gain_pct"]) for r in importance(spark, trees, columns).collect()]
+        return name, params, metrics, {"target": "log1p", "scored": "open days"}, gains
+
     runs = []
     try:
-        for name in only or list(VARIANTS):
-            chosen = VARIANTS[name]
-            own = chosen.settings(settings)
-            kept = set(without(names, chosen.dropped))
-            columns = [c for c in design.columns if c.removesuffix("_missing") in kept or c in kept]
-            slicer = VectorSlicer(
-                inputCol="all", outputCol="features", indices=[design.columns.index(c) for c in columns]
-            )
-            on_train = slicer.transform(train_rows.withColumnRenamed("features", "all")).drop("all")
-            on_valid = slicer.transform(valid_rows.withColumnRenamed("features", "all")).drop("all")
-            trees, rounds, train_error, valid_error = _tune(own, on_train, trading_days(on_valid))
-            pred = closed_rule(from_log(F.col("prediction")), F.col("Open"))
-            scored = trees.transform(on_valid).select("Sales", "Open", pred.alias("pred"))
-            score = evaluate(scored, (), scale=spec.money_scale).first()
-            metrics = {
-                "best_iteration": rounds,
-                "train_rmse_log": train_error,
-                "valid_rmse_log": valid_error,
-            }
-            for m in METRICS:
-                metrics[f"valid_{m}"] = score[m]
-                metrics[f"improvement_{m}_pct"] = (1 - score[m] / base[m]) * 100
-            params = vars(own) | {
-                "n_features": len(kept),
-                "dropped": ",".join(chosen.dropped) or "none",
-                "train_rows": n_train,
-                "valid_window": f"{window['a']}..{window['b']}",
-            }
-            tags = {
-                "rationale": chosen.rationale,
-                "target_transform": "log1p",
-                "scored_on": "open days only",
-            }
-            gains = [(r["feature"], r["gain_pct"]) for r in importance(spark, trees, columns).collect()]
-            runs.append(append_run(spark, root, name, params, metrics, tags, gains))
+        with ThreadPoolExecutor(at_once) as pool:
+            # Slow and large trees first.
+            order = sorted(only or list(VARIANTS), key=lambda name: VARIANTS[name].settings(settings).learning_rate)
+            work = [pool.submit(inheritable_thread_target(spark)(experiment), name) for name in order]
+            runs += [append_run(spark, root, *done.result()) for done in as_completed(work)]
     finally:
         train_rows.unpersist()
         valid_rows.unpersist()
@@ -341,10 +323,13 @@ def holdout_scores(fitted: Fitted, table: DataFrame, baseline: DataFrame, spec:
     return improvement(model.unionByName(baseline), "baseline", ("split",))
 
 
-def save_model(fitted: Fitted, path: str, config: str, trained_through: dt.date, scores: dict) -> None:
-    """Write the trees, the frozen design and one row of provenance under ``path``."""
+def save_model(fitted: Fitted, path: str, config: str, trained_through: dt.date, scores: DataFrame) -> None:
+    """Write the trees, the frozen design and one row of provenance under ``path``.
+
+    ``scores`` has a row for each label, so the baseline's errors stand beside the model's.
+    """
     spark = fitted.design.levels.sparkSession
-    fitted.model.write().overwrite().save(f"{path}/trees")
+    node_table(spark, fitted.model.trees).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
     fitted.design.levels.write.mode("overwrite").parquet(f"{path}/levels")
     fitted.design.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     meta = {
@@ -354,14 +339,17 @@ def save_model(fitted: Fitted, path: str, config: str, trained_through: dt.date,
         "categories": fitted.design.sizes,
         "categorical": [c for c in CATEGORICAL if c in fitted.design.features],
         "num_rounds": fitted.best_round,
+        "start": fitted.model.start,
+        "rate": fitted.model.rate,
+        "gains": fitted.model.gains,
         "target_transform": "log1p",
         "trained_through": trained_through,
-        "metrics": {k: float(v) for k, v in scores.items()},
+        "metrics": {r["label"]: {m: float(r[m]) for m in METRICS} for r in scores.collect()},
     }
     schema = (
         "config string, features array<string>, nullable array<string>, categories map<string,int>, "
-        "categorical array<string>, num_rounds int, target_transform string, trained_through date, "
-        "metrics map<string,double>"
+        "categorical array<string>, num_rounds int, start double, rate double, gains array<double>, "
+        "target_transform string, trained_through date, metrics map<string,map<string,double>>"
     )
     spark.createDataFrame([meta], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -375,8 +363,8 @@ def load_model(spark: SparkSession, path: str) -> Fitted:
         list(meta["nullable"]),
         dict(meta["categories"]),
     )
-    trees = GBTRegressionModel.load(f"{path}/trees")
-    return Fitted(design, trees, meta["num_rounds"])
+    trees = trees_of(spark.read.parquet(f"{path}/trees"))
+    return Fitted(design, Ensemble(meta["start"], meta["rate"], trees, list(meta["gains"])))
 
 
 def provenance(spark: SparkSession, path: str, serving: DataFrame) -> DataFrame:

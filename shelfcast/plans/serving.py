@@ -154,9 +154,12 @@ def forecast_ranges(
 ) -> tuple[DataFrame, DataFrame]:
     """Day rows and summaries of all valid requests; ``predict`` adds ``pred`` to rows.
 
-    A forecast belongs to a store and a day, so each serving row is scored once, however
-    many requests ask for it, and only what answers show goes through the join.
+    A forecast belongs to a store and a day: the days that any request asks for are picked first, so
+    each is scored once, however many requests ask for it, and days nobody asks for are not. Only
+    what answers show goes through the join.
     """
     wanted = ["store_key", "Date", "Open", "Promo", "Sales", "pred"]
-    rows = request_rows(requests, predict(serving).select(*wanted))
+    days = _requested_days(_checked(requests, serving))
+    asked = serving.join(days.select("store_key", "Date").distinct(), ["store_key", "Date"], "left_semi")
+    rows = days.join(predict(asked).select(*wanted), ["store_key", "Date"])
     return day_forecasts(rows), range_summaries(rows)

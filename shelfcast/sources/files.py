@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.operators.checks import require_sound, rows_without_features, submission_report
 from shelfcast.sources.schemas import FACTS, FUTURE, STORES
+from shelfcast.sources.staging import stage
 
 
 def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -76,6 +78,19 @@ def write_serving_table(serving: DataFrame, path: str) -> None:
     )
 
 
+def publish_submission(
+    submission: DataFrame, expected: DataFrame, features: DataFrame, names: list[str], path: str
+) -> None:
+    """Write a submission to ``path`` once its checks have passed; else raise and leave nothing there.
+
+    The rows are written aside and judged as written: every expected id once, no forecast missing,
+    and no row of ``features`` without any of ``names``.
+    """
+    aside = stage(submission.select("Id", "Sales"), "submission")
+    require_sound(submission_report(aside, expected), rows_without_features(features, names))
+    write_submission(aside, path)
+
+
 def write_submission(submission: DataFrame, path: str) -> None:
     """CSV of ``Id, Sales`` ordered by Id over all part files, two decimals."""
     (

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from shelfcast.functions.targets import closed_rule
 from shelfcast.operators import selection
 from shelfcast.operators.vocabulary import build_vocabulary
-from shelfcast.plans import model, serving
+from shelfcast.plans import boosting, model, serving
 from shelfcast.plans.features import build_features
 from shelfcast.sources.schemas import REQUESTS
 
 SPEC = data.SPEC
-SETTINGS = model.TreeSettings(rounds=4, leaves=8, min_rows=5, learning_rate=0.3)
+SETTINGS = boosting.TreeSettings(rounds=4, leaves=8, min_rows=5, learning_rate=0.3)
 
 
 def history(spark):
@@ -98,6 +98,48 @@ def test_each_serving_row_is_forecast_once(spark, served):
     assert seen == [set(served.columns)]
 
 
+def test_days_nobody_asks_for_are_not_forecast(spark, served, tmp_path):
+    served.write.parquet(str(tmp_path / "served"))
+    table, seen = spark.read.parquet(str(tmp_path / "served")), []
+
+    def predict(rows):
+        seen.append(rows)
+        return known(rows)
+
+    d = dt.date
+    requests = ask(spark, *[(1, d(2014, 11, 3), d(2014, 11, 9))] * 3, (2, d(2014, 11, 9), d(2014, 11, 3)), (10, d(2014, 11, 9), d(2014, 11, 10)))
+    days, _ = serving.forecast_ranges(requests, table, predict)
+    asked = "(Store = 1 and Date between '2014-11-03' and '2014-11-09') or (Store = 10 and Date between '2014-11-09' and '2014-11-10')"
+    got = sorted(tuple(r) for r in seen[0].select("Store", "Date").collect())
+    assert got == sorted(tuple(r) for r in table.where(asked).select("Store", "Date").collect())
+    assert "LeftSemi" in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert days.count() == 3 * table.where("Store = 1 and Date between '2014-11-03' and '2014-11-09'").count() + table.where(
+        "Store = 10 and Date between '2014-11-09' and '2014-11-10'"
+    ).count()
+
+
+def test_a_faulty_submission_leaves_nothing(spark, served, tmp_path):
+    from shelfcast.sources.files import publish_submission
+
+    future = data.future(spark)
+    good = future.select("Id", F.lit(2.5).alias("Sales"))
+    rows = served.where("Sales is null")
+    names = ["roll_mean_28", "promo_next_day"]
+    bad = {
+        "1 missing_ids": (good.where("Id <> 4"), rows),
+        "1 repeated_ids": (good.union(good.where("Id = 7")), rows),
+        "1 null_forecasts": (good.withColumn("Sales", F.when(F.col("Id") != 9, F.col("Sales"))), rows),
+        "rows_without_features": (good, rows.withColumns({n: F.lit(None).cast("double") for n in names})),
+    }
+    for i, (message, (submission, features)) in enumerate(bad.items()):
+        path = tmp_path / f"out{i}"
+        with pytest.raises(ValueError, match=message):
+            publish_submission(submission, future, features, names, str(path))
+        assert not path.exists()
+    publish_submission(good, future, rows, names, str(tmp_path / "good"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "good")).count() == 96
+
+
 def test_range_forecasts(spark, served):
     requests = ask(spark, (1, dt.date(2014, 11, 3), dt.date(2014, 11, 16)), (10, dt.date(2014, 12, 20), dt.date(2014, 12, 26)))
     days, totals = serving.forecast_ranges(requests, served, known)
@@ -139,13 +181,15 @@ def test_model_scores_and_survives_saving(spark, tmp_path, table, fitted, served
     assert rows.count() == test.count()
     assert rows.where("pred is null or pred < 0 or (Open = 0 and pred <> 0)").isEmpty()
     path = str(tmp_path / "model")
-    model.save_model(fitted, path, "no_lags", dt.date(2014, 10, 31), {"rmse": 1.0, "mape": 2.0, "wape": 3.0})
+    scores = [("model", 1.0, 2.0, 3.0), ("baseline", 4.0, 5.0, 6.0)]
+    scores = spark.createDataFrame(scores, "label string, rmse double, mape double, wape double")
+    model.save_model(fitted, path, "no_lags", dt.date(2014, 10, 31), scores)
     again = model.load_model(spark, path).predict(test)
     key = ["Store", "Date", "pred"]
     assert rows.select(key).exceptAll(again.select(key)).isEmpty()
     about = model.provenance(spark, path, served).first()
     assert about["n_features"] == 41 and about["n_stores"] == 3 and about["config"] == "no_lags"
-    assert about["metrics"]["mape"] == 2.0
+    assert about["metrics"]["model"]["mape"] == 2.0 and about["metrics"]["baseline"]["wape"] == 6.0
 
 
 def test_unseen_store_gets_the_overall_level(table, fitted):
@@ -174,7 +218,7 @@ def test_experiments_are_logged(spark, tmp_path, table, vocabulary):
     base = evaluation.baseline_scores(facts, SERVED, ("valid",)).where("label = 'weekday_median_4w'")
     names = selection.feature_names(table)
     root = str(tmp_path / "runs")
-    quick = model.TreeSettings(rounds=2, leaves=4, min_rows=5)
+    quick = boosting.TreeSettings(rounds=2, leaves=4, min_rows=5)
     model.run_experiments(table, names, vocabulary, base, SERVED, quick, root, only=["full", "no_lags", "no_store"])
     logged = runs.read_table(spark, root, "runs"), runs.read_table(spark, root, "run_metrics")
     values = {r["name"]: r["value"] for r in runs.run_values(*logged, "valid_mape").collect()}
