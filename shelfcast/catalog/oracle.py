@@ -641,6 +641,7 @@ def _check_queries() -> dict[str, str]:
             body=f"""SELECT feature, ROUND(ABS(c), 6) AS abs_corr FROM ({corr})
               ORDER BY ABS(c) DESC NULLS LAST LIMIT 1""",
         ),
+        "skew_report_where_they_lie": f"SELECT * FROM ({sql(*paths, body=skew)}) WHERE \"column\" NOT LIKE 'lag_%'",
         "skew_report": sql(*paths, body=skew),
         "skew_worst": sql(
             *paths,

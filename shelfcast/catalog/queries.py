@@ -17,6 +17,7 @@ from shelfcast.operators import selection as sel
 from shelfcast.operators import vocabulary as vocab
 from shelfcast.plans import boosting, classical, evaluation, model, runs, serving
 from shelfcast.plans import features as feats
+from shelfcast.plans import upkeep
 from shelfcast.sources import files
 from shelfcast.sources.files import extended_history
 from shelfcast.sources.staging import stage_path
@@ -83,10 +84,11 @@ def future_from_csv(spark, sf_dir):
 
 @query
 def feature_file(spark, sf_dir):
-    """Two columns of the feature table, which is laid out by split."""
+    """Two columns of the feature file, which was built before the test window and then brought up to date."""
     path = stage_path(spark, "feature-file")
-    files.feature_table(spark, path, lambda: _feature_table(spark, sf_dir))
-    table = files.read_columns(spark, path, "split", "promo_count_14d")
+    facts, stores = fx.daily(spark, sf_dir), fx.stores(spark, sf_dir)
+    upkeep.refreshed(spark, path, panel.before(facts, SPEC.test_start), stores, SPEC)
+    table = upkeep.refreshed(spark, path, facts, stores, SPEC).select("split", "promo_count_14d")
     return table.groupBy("split", "promo_count_14d").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -549,6 +551,15 @@ def skew_report(spark, sf_dir):
     return rounded(table, max_diff=5)
 
 
+@query
+def skew_report_where_they_lie(spark, sf_dir):
+    """The serving table against its like from the training path, both bucketed by store and day."""
+    served = _serving(spark, sf_dir)
+    columns = [c for c in SKEW_COLUMNS if c in served.columns]
+    offline = serving.offline_table(fx.daily(spark, sf_dir), fx.stores(spark, sf_dir), columns, SPEC)
+    return rounded(checks.skew_report(offline, served, columns, key=list(serving.SERVED_BY)), max_diff=5)
+
+
 @query
 def skew_worst(spark, sf_dir):
     offline, served = _two_paths(spark, sf_dir)

@@ -16,10 +16,10 @@ def _unequal(a: Column, b: Column, rtol: float, atol: float) -> Column:
     return ~(a.eqNullSafe(b) | F.coalesce(close, F.lit(False)))
 
 
-def _paired(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    a = left.select(*KEY, *[F.col(c).cast("double").alias(f"a_{c}") for c in columns])
-    b = right.select(*KEY, *[F.col(c).cast("double").alias(f"b_{c}") for c in columns])
-    return a.join(b, KEY)
+def _paired(left: DataFrame, right: DataFrame, columns: list[str], key: list[str] = KEY) -> DataFrame:
+    a = left.select(*key, *[F.col(c).cast("double").alias(f"a_{c}") for c in columns])
+    b = right.select(*key, *[F.col(c).cast("double").alias(f"b_{c}") for c in columns])
+    return a.join(b, key)
 
 
 def leakage_report(
@@ -91,10 +91,13 @@ def strongest(correlations: DataFrame) -> DataFrame:
 
 
 def skew_report(
-    offline: DataFrame, serving: DataFrame, columns: list[str], tolerance: float = 1e-6
+    offline: DataFrame, serving: DataFrame, columns: list[str], tolerance: float = 1e-6, key: list[str] = KEY
 ) -> DataFrame:
-    """Rows on which two paths disagree, per column, over the keys both hold."""
-    pairs = _paired(offline, serving, columns)
+    """Rows on which two paths disagree, per column, over the keys both hold.
+
+    Tables that are bucketed by ``key`` are compared where they lie.
+    """
+    pairs = _paired(offline, serving, columns, key)
     counts = []
     for c in columns:
         a, b = F.col(f"a_{c}"), F.col(f"b_{c}")

@@ -394,7 +394,7 @@ def submission(
     An id without a serving row fails the job: a submission has every id.
     """
     unseen = serving.where(F.isnull("Sales")).withColumn("_served", F.lit(True))
-    ids = future.select("Id", F.col("Store").alias("store_key"), "Date")
+    ids = future.withColumnRenamed("Store", "store_key").select("Id", "store_key", "Date")
     missing = F.raise_error(F.concat(F.lit("no features for id "), F.col("Id").cast("string")))
     rows = ids.join(unseen, ["store_key", "Date"], "left").withColumn(
         "Open", F.when(F.col("_served"), F.col("Open")).otherwise(missing.cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 from shelfcast.functions.dates import iso_weekday
 from shelfcast.operators.selection import CATEGORICAL, serving_columns
 from shelfcast.operators.vocabulary import require_known
-from shelfcast.plans.features import serving_features
+from shelfcast.plans.features import features_between, serving_features
 from shelfcast.sources.files import extended_history
-from shelfcast.sources.staging import stage
+from shelfcast.sources.staging import bucketed
 from shelfcast.spec import PanelSpec
 
+#: What serving rows are looked up by.
+SERVED_BY = ("store_key", "Date")
 OK, UNKNOWN, REVERSED, OUTSIDE, EMPTY = "ok", "unknown store", "reversed range", "outside range", "no rows"
 
 
@@ -26,17 +29,29 @@ def serving_table(
     spec: PanelSpec,
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """Features of every servable day, built once as a staged table.
+    """Features of every servable day, built once and bucketed by store and day.
 
     A given vocabulary must hold all values of the categorical features.
     """
     table = serving_features(extended_history(facts, future), stores, spec)
-    table = stage(serving_columns(table, features), "serving")
+    table = bucketed(serving_columns(table, features), "serving", SERVED_BY)
     if vocabulary is not None:
         require_known(table, vocabulary, tuple(c for c in CATEGORICAL if c in features))
     return table
 
 
+def offline_table(facts: DataFrame, stores: DataFrame, features: list[str], spec: PanelSpec) -> DataFrame:
+    """The same features of the days from the test window on, from the training path, bucketed alike."""
+    last = spec.test_start + dt.timedelta(days=spec.horizon - 1)
+    table = features_between(facts, stores, spec.test_start, last, spec)
+    return bucketed(serving_columns(table, features), "offline", SERVED_BY)
+
+
+def calendar_table(future: DataFrame) -> DataFrame:
+    """The published ids, bucketed as the serving table is."""
+    return bucketed(future.withColumnRenamed("Store", "store_key"), "calendar", SERVED_BY)
+
+
 def serving_summary(serving: DataFrame) -> DataFrame:
     return serving.agg(
         F.count(F.lit(1)).alias("rows"),

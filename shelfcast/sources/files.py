@@ -49,21 +49,6 @@ def extended_history(facts: DataFrame, future: DataFrame) -> DataFrame:
     return facts.drop("Customers").unionByName(future_rows(future), allowMissingColumns=True)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def feature_table(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
-    """Read the feature table at ``path``, first building it if it is not complete there.
-
-    Files are laid out by split, so that a scan of one split reads only its folder.
-    """
-    if rebuild or not _exists(spark, path):
-        build().write.mode("overwrite").partitionBy("split").parquet(path)
-    return spark.read.parquet(path)
-
-
 def read_columns(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 

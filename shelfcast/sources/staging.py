@@ -45,3 +45,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once, dealt by a hash of ``keys``, and return a scan of what was written.
+
+    Tables with as many buckets by the same keys are joined on them where they lie: no rows move. The
+    number of buckets is that of shuffle partitions, unless given; each is one sorted file.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", stage_path(spark, name)).saveAsTable(table)
+    return spark.table(table)

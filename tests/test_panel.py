@@ -73,22 +73,6 @@ def test_csv_round_trip(spark, tmp_path):
     assert files.read_future(spark, str(tmp_path / "future")).where("Open is null").count() == 2
 
 
-def test_feature_table_is_built_once(spark, tmp_path):
-    calls = []
-
-    def build():
-        calls.append(1)
-        return panel.add_split(data.facts(spark), data.SPEC)
-
-    path = str(tmp_path / "features")
-    first = files.feature_table(spark, path, build)
-    assert files.feature_table(spark, path, build).count() == first.count()
-    assert len(calls) == 1
-    files.feature_table(spark, path, build, rebuild=True)
-    assert len(calls) == 2
-    plan = first.where("split = 'test'").select("Sales")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(split" in plan
-
 
 def test_submission_file_is_ordered_with_two_decimals(spark, tmp_path):
     rows = spark.createDataFrame([(3, 1.5), (1, 2.0), (2, 0.126)], "Id long, Sales double")

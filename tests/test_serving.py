@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.functions.targets import closed_rule
-from shelfcast.operators import selection
+from shelfcast.operators import checks, selection
 from shelfcast.operators.vocabulary import build_vocabulary
 from shelfcast.plans import boosting, model, serving
 from shelfcast.plans.features import build_features
@@ -66,6 +66,32 @@ def test_serving_table_has_the_chosen_features(served, table):
     assert summary["unseen"] == 96 and summary["rows"] == summary["known"] + 96
 
 
+def test_bucketed_tables_are_joined_where_they_lie(spark, table, fitted):
+    """No rows of serving, offline or calendar tables move for requests, skew report and submission."""
+    names = selection.without(selection.feature_names(table), ("lag_",))
+    served = serving.serving_table(history(spark), data.future(spark), data.stores(spark), names, SERVED)
+    offline = serving.offline_table(history(spark), data.stores(spark), names, SERVED)
+    calendar = serving.calendar_table(data.future(spark))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        skew = checks.skew_report(offline, served, ["roll_mean_28"], key=list(serving.SERVED_BY))
+        requests = ask(spark, (1, dt.date(2014, 11, 3), dt.date(2014, 11, 9)))
+        rows = serving.request_rows(requests, served).select("request_id", "store_key", "Date", "Promo")
+        ids = model.submission(fitted, calendar, served)
+        plans = plan(skew), plan(rows), plan(ids)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert skew.first()["rows_differ"] == 0 and skew.first()["rows"] > 100
+    assert plans[0].count("SortMergeJoin") == 1 and "hashpartitioning" not in plans[0]
+    join = plans[1][plans[1].index("SortMergeJoin") :]
+    keyed = [x for x in join.splitlines() if "hashpartitioning(store_key" in x and "Date" in x]
+    assert len(keyed) == 1, "the requested days move, the serving rows don't"
+    assert not [x for x in plans[2].splitlines() if "hashpartitioning(store_key" in x and "Date" in x]
+    assert ids.count() == 96
+
+
 def test_status_of_each_kind_of_request(spark, served):
     d = dt.date
     requests = ask(
