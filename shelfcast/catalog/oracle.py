@@ -921,8 +921,62 @@ def _classical_ctes() -> list[str]:
     return [series, fit, path]
 
 
+def _noise_ctes() -> list[str]:
+    """Two regressions with moving-average terms, the residuals written out as rows of their own."""
+    long = (1, 2, 7, 8, 9, 14)
+    lags = (0, 1, 2, 3, 7, 8, 9, 10, 14, 15, 16, 21)
+
+    def eliminated(name: str, source: str, size: int) -> str:
+        row = "list_transform(rw, lambda x, j: x - m[k + 1][j] * rw[k + 1] / NULLIF(m[k + 1][k + 1], 0))"
+        own = "list_transform(rw, lambda x: x / NULLIF(m[k + 1][k + 1], 0))"
+        return f"""{name}_steps AS (
+          SELECT Store, 0 AS k, m FROM {source}
+          UNION ALL SELECT Store, k + 1, list_transform(m, lambda rw, i: CASE WHEN i = k + 1 THEN {own} ELSE {row} END)
+          FROM {name}_steps WHERE k < {size}),
+        {name} AS (SELECT Store, list_transform(m, lambda rw: rw[{size + 1}]) AS w FROM {name}_steps WHERE k = {size})"""
+
+    def system(terms: list[str], target: str) -> str:
+        rows = ", ".join("[" + ", ".join([f"SUM({a} * {b})" for b in terms] + [f"SUM({target} * {a})"]) + "]" for a in terms)
+        return f"[{rows}]"
+
+    z = ", ".join(f"LAG(y, {k}) OVER s - LAG(y, {k + 7}) OVER s AS z{k}" for k in sorted({*lags, *(7 + k for k in long)}))
+    known = " AND ".join(f"z{k} IS NOT NULL" for k in lags)
+
+    def noise(ago: int) -> str:
+        return f"z{ago} - " + " - ".join(f"w[{i + 1}] * z{ago + k}" for i, k in enumerate(long))
+
+    def zt(ago: int) -> str:
+        return f"(y[-{ago}] - y[-{ago + 7}])"
+
+    start = ", ".join(f"{zt(a)} - " + " - ".join(f"l[{i + 1}] * {zt(a + k)}" for i, k in enumerate(long)) for a in range(7, 0, -1))
+    step = f"y[-7] + w[1] * {zt(1)} + w[2] * {zt(7)} + w[3] * e[-1] + w[4] * e[-7]"
+    unsolved = "len(list_filter(longs.w, lambda x: x IS NULL)) + len(list_filter(owns.w, lambda x: x IS NULL)) > 0"
+    return [
+        f"""zs AS (SELECT * FROM (SELECT Store, {z} FROM series WINDOW s AS (PARTITION BY Store ORDER BY Date)) WHERE {known}),
+        first_system AS (SELECT Store, COUNT(*) AS n, {system([f'z{k}' for k in long], 'z0')} AS m FROM zs GROUP BY 1)""",
+        eliminated("longs", "first_system", len(long)),
+        f"""noisy AS (SELECT zs.*, {noise(1)} AS e1, {noise(7)} AS e7 FROM zs JOIN longs USING (Store)),
+        second_system AS (SELECT Store, {system(['z1', 'z7', 'e1', 'e7'], 'z0')} AS m FROM noisy GROUP BY 1)""",
+        eliminated("owns", "second_system", 4),
+        f"""judged_fit AS (SELECT f.Store, n, longs.w AS l, owns.w AS w,
+          CASE WHEN n < 60 THEN 'too little history' WHEN {unsolved} THEN 'no unique solution' END AS error
+          FROM first_system f JOIN longs USING (Store) JOIN owns USING (Store))""",
+        f"""noise_verdict AS (SELECT e.Store, hi, l, w, CASE WHEN n IS NULL THEN 'too little history' ELSE error END AS error
+          FROM ends e LEFT JOIN judged_fit j ON e.Store = j.Store),
+        noise_tails AS (SELECT Store, LIST(y ORDER BY Date) AS y FROM series WHERE hi - Date < 28 GROUP BY 1),
+        noise_path AS (
+          SELECT Store, hi, 0 AS i, w, y, [{start}] AS e FROM noise_verdict JOIN noise_tails USING (Store) WHERE error IS NULL
+          UNION ALL SELECT Store, hi, i + 1, w, list_append(y, {step}), list_append(e, 0.0) FROM noise_path WHERE i < 48),
+        noise_predicted AS (SELECT Store, CAST(hi + i AS DATE) AS Date, GREATEST(EXP(y[-1]) - 1, 0.0) AS pred,
+            CAST(NULL AS VARCHAR) AS error FROM noise_path WHERE i > 0
+          UNION ALL SELECT Store, NULL, NULL, error FROM noise_verdict WHERE error IS NOT NULL)""",
+    ]
+
+
 def _classical_queries() -> dict[str, str]:
     series, fit, path = _classical_ctes()
+    noise = _noise_ctes()
+    weights = ", ".join(f"ROUND(w[{i + 1}], 5) AS {name}" for i, name in enumerate(("f1", "f7", "g1", "g7")))
     ranked = """means AS (SELECT Store, AVG(Sales) AS m FROM daily WHERE Open = 1 GROUP BY 1),
       ranked AS (SELECT Store, ROW_NUMBER() OVER (ORDER BY m, Store) - 1 AS place,
                  COUNT(*) OVER () AS n FROM means),
@@ -935,6 +989,10 @@ def _classical_queries() -> dict[str, str]:
         "classical_forecast": sql(
             series, fit, path, body="SELECT Store, Date, ROUND(pred / 100, 1) AS pred, error FROM predicted"
         ),
+        "classical_noise_coefficients": sql(series, *noise, body=f"SELECT Store, n, error, {weights} FROM judged_fit"),
+        "classical_noise_forecast": sql(
+            series, *noise, body="SELECT Store, Date, ROUND(pred / 100, 1) AS pred, error FROM noise_predicted"
+        ),
         "classical_scores": sql(
             series,
             fit,

@@ -15,7 +15,7 @@ from shelfcast.operators import baselines, calibration, checks, panel, profile,
 from shelfcast.operators import history as hist
 from shelfcast.operators import selection as sel
 from shelfcast.operators import vocabulary as vocab
-from shelfcast.plans import boosting, classical, evaluation, model, runs, serving
+from shelfcast.plans import arma, boosting, classical, evaluation, model, runs, serving
 from shelfcast.plans import features as feats
 from shelfcast.plans import upkeep
 from shelfcast.sources import files
@@ -753,6 +753,21 @@ def classical_forecast(spark, sf_dir):
     return rounded(table.withColumn("pred", F.col("pred") / 100), pred=1)
 
 
+@query
+def classical_noise_coefficients(spark, sf_dir):
+    """The model with moving-average terms, per store."""
+    known = panel.before(fx.daily(spark, sf_dir), SPEC.valid_start)
+    table = arma.coefficients(classical.regular_series(known, SPEC), SPEC)
+    own = {name: F.get("own", F.lit(i)).alias(name) for i, name in enumerate(("f1", "f7", "g1", "g7"))}
+    return rounded(table.select("Store", "n", "error", *own.values()), **dict.fromkeys(own, 5))
+
+
+@query
+def classical_noise_forecast(spark, sf_dir):
+    table = arma.forecast(fx.daily(spark, sf_dir), SPEC.valid_start, SPEC)
+    return rounded(table.withColumn("pred", F.col("pred") / 100), pred=1)
+
+
 @query
 def classical_scores(spark, sf_dir):
     """Classical and median forecasts on the stratified sample of stores."""
