@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators.scores import METRICS
 from shelfcast.sources.schemas import RUN_FEATURES, RUN_METRICS, RUN_TEXT, RUNS
+from shelfcast.sources.staging import stage
 
 #: ``runs`` is written last: a run is there once its row is, with all that belongs to it.
 TABLES = {
@@ -101,6 +102,7 @@ def noise_floor(values: DataFrame, seeds: list[str]) -> DataFrame:
 
 def against_noise(values: DataFrame, seeds: list[str], variants: list[str]) -> DataFrame:
     """Each variant's value and whether it lies inside the band of the seed runs."""
+    values = stage(values, "values")  # read twice, computed once
     value = F.col("value")
     band = values.where(F.col("name").isin(seeds)).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     inside = value.between(band.select("low").scalar(), band.select("high").scalar())
@@ -113,6 +115,7 @@ def against_noise(values: DataFrame, seeds: list[str], variants: list[str]) -> D
 
 def ablation_table(scores: DataFrame, baseline: str, reference: str = "full") -> DataFrame:
     """Scores per variant, the change against ``reference`` and the gain over the baseline."""
+    scores = stage(scores, "scores")  # read twice, computed once
     mape, label = F.col("mape"), F.col("label")
     picked = scores.agg(
         F.max(F.when(label == reference, mape)).alias("full"), F.max(F.when(label == baseline, mape)).alias("base")
