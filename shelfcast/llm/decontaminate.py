@@ -73,6 +73,25 @@ def _positions(texts: DataFrame, lengths: list[int]) -> DataFrame:
     return each.select("*", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
 
+def _near(texts: DataFrame, lengths: list[int], needed: DataFrame, params: DecontaminationParams) -> DataFrame:
+    """(doc_id, t1, t2, n_words, at, key, left, around): places with a key of ``needed``, and the words around.
+
+    Up to the bound the keys are broadcast and nothing moves. Beyond it a place moves as its hash and
+    its text's fingerprint, without words; only places that are found go back to their texts for the
+    words around them, and a text moves once.
+    """
+    left = F.least("at", F.lit(params.window - 1))
+    around = F.slice("w", F.col("at") - left + 1, left + params.window)
+    columns = ["doc_id", "t1", "t2", "n_words", "at", "key", left.alias("left"), around.alias("around")]
+    places = _positions(texts, lengths)
+    if needed.count() <= params.broadcast_keys:
+        return places.join(F.broadcast(needed), "key").select(*columns)
+    moved = places.select(F.col("doc_id").alias("in_id"), F.col("t1").alias("in_1"), F.col("t2").alias("in_2"), "at", "key")
+    met = moved.join(needed, "key")
+    same = F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("t1") == F.col("in_1")) & (F.col("t2") == F.col("in_2"))
+    return texts.dropDuplicates(["doc_id", "t1", "t2"]).join(met, same).select(*columns)
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> tuple[DataFrame, DataFrame]:
     """(found: doc_id, t1, t2, at, size, window_id), (owners: window_id, item_id).
 
@@ -100,10 +119,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, params: DecontaminationPa
     prefix = prefix.join(windows, "window_id").select("window_id", "size", "body", F.col("p.key").alias("key"), F.col("p.at").alias("shift"))
     prefix = stage(prefix, "prefixes")
     needed = stage(prefix.select("key").distinct(), "prefix-keys")
-    # A place with a prefix shingle goes on with the words around it only.
-    left = F.least("at", F.lit(params.window - 1))
-    around = F.slice("w", F.col("at") - left + 1, left + params.window)
-    near = _positions(texts, lengths).join(_small(needed, params), "key").select(*found_schema, "n_words", "at", "key", left.alias("left"), around.alias("around"))
+    near = _near(texts, lengths, needed, params)
     start = F.col("at") - F.col("shift")
     found = (
         near.join(prefix, "key")

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shelfcast.llm import decontaminate, quality, urlfilter, warc
 from shelfcast.sources.staging import stage_path
@@ -93,3 +94,20 @@ def test_lookups_through_small_blocks(spark):
         if i in back:
             assert back[i].refers_to == (None if first[html] == i else first[html])
             assert back[i].html == (html.encode() if first[html] == i else None) and back[i].payload_bytes == len(html)
+
+
+def test_beyond_the_broadcast_bound_no_words_move_with_places(spark):
+    """What is dealt by key holds no text, and a text that is dealt is not multiplied."""
+    rows = [(i, "plain words of a document that goes on for a while " * 20) for i in range(30)] + [(3, None), (None, "words of a document that goes on")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select("doc_id", *decontaminate._marks(), decontaminate.words(docs.text).alias("w")).withColumn("n_words", F.size("w"))
+    needed = decontaminate._positions(texts, [3]).select("key").distinct()
+    found = {}
+    for bound in (0, 1_000_000):
+        near = decontaminate._near(texts, [3], needed, decontaminate.DecontaminationParams(broadcast_keys=bound))
+        found[bound] = sorted(map(str, near.select("doc_id", "at", "key", "left", "around").distinct().collect()))
+        if not bound:
+            plan = spark._jvm.PythonSQLUtils.explainString(near._jdf.queryExecution(), "formatted")
+            dealt = [part.split("Input")[1].split("\n")[0] for part in plan.split("\n\n") if "Exchange" in part.split("\n")[0] and "Input" in part]
+            assert any("key#" in x for x in dealt) and not [x for x in dealt if "at#" in x and "w#" in x]
+    assert found[0] == found[1_000_000] and len(found[0]) > 5000
