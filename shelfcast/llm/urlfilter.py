@@ -27,11 +27,14 @@ class SpreadParams:
     """Damping and rounds of both walks, and the distrust at which a host is blocked.
 
     A host all of whose pages are blocked by rule starts with 1; ``threshold`` is a share of that.
+    Hosts with more than one in ``large_hosts`` of all pages, so fewer than that many, get their
+    scores by a broadcast; all others by a shuffle.
     """
 
     damping: float = 0.85
     rounds: int = 10
     threshold: float = 0.5
+    large_hosts: int = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -43,19 +46,22 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)" + PATH, 1), F.lit(""))
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and its parent domains."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _suffixes(host: Column, labels: list[int]) -> Column:
+    """The ends of the host with as many labels as ``labels`` names, or all of a shorter host."""
+    ends = F.array(*[F.substring_index(host, ".", -n) for n in labels]) if labels else F.array().cast("array<string>")
+    return F.array_distinct(ends)
 
 
 def matched(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """``rows`` (row, host, path, ..) with rule and rule_verdict of the longest rule that fits, or nulls.
 
-    Each page asks for the rules of its host and of each parent domain; a fitting rule is
-    a row of the join, and the longest is kept by a maximum that combines before the shuffle.
+    Each page asks for the rules of those ends of its host that have as many labels as some
+    rule's host (these numbers come to the driver), so a host of any length asks as often as a
+    short one. A fitting rule is a row of the join, and the longest is kept by a maximum that
+    combines before the shuffle.
     """
-    asked = rows.where("host <> ''").select("row", "path", F.explode(_suffixes(F.col("host"))).alias("rule_host"))
+    labels = sorted(r.n for r in rules.select(F.size(F.split("rule_host", r"\.")).alias("n")).where("rule_host <> ''").distinct().collect())
+    asked = rows.where("host <> ''").select("row", "path", F.explode(_suffixes(F.col("host"), labels)).alias("rule_host"))
     fits = asked.join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
     name = F.concat("rule_host", "rule_path")
     best = fits.groupBy("row").agg(F.max(F.struct(F.length(name).alias("n"), name.alias("rule"), F.col("verdict").alias("rule_verdict"))).alias("best"))
@@ -98,24 +104,36 @@ def spread(links: DataFrame, seeds: DataFrame, params: SpreadParams) -> DataFram
     return scores.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
 
+def _scored(rows: DataFrame, scores: DataFrame, sizes: DataFrame, params: SpreadParams) -> DataFrame:
+    """``rows`` with their host's trust and distrust, or nulls; pages of a large host stay where they are."""
+    large = sizes.where(F.col("pages") * params.large_hosts > rows.count()).select("host")
+    large = F.broadcast(stage(large.join(scores, "host", "left"), "large-hosts"))
+    others = rows.join(large.select("host"), "host", "left_anti").join(scores, "host", "left")
+    return rows.join(large, "host").unionByName(others)
+
+
 def judged(pages: DataFrame, rules: DataFrame, params: SpreadParams = SpreadParams()) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust, one row for each page.
 
-    A rule's verdict stands. Without one, a page is blocked if its host's distrust is at
-    least the threshold and more than its trust. A host's start is the share of its pages
-    that rules allow or block. Null urls have an empty host and path and are allowed; null
-    html has no links; repeated rows are judged each for itself; other columns are ignored.
+    A rule's verdict stands. Of rules that fit equally long, that with the greater verdict
+    stands. Without one, a page is blocked if its host's distrust is at least the threshold and
+    more than its trust. A host's start is the share of its pages that rules allow or block.
+    Null urls have an empty host and path and are allowed; null html has no links; urls may be
+    of any length; repeated rows are judged each for itself; an empty table gives an empty
+    result; other columns are ignored.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "page-rows")
     rows = stage(matched(rows, rules), "ruled")
     share = lambda verdict: F.avg(F.when(F.col("rule_verdict") == verdict, 1.0).otherwise(0.0))
-    seeds = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = spread(host_links(pages), seeds, params)
+    hosts = rows.groupBy("host").agg(F.count("*").alias("pages"), share("allow").alias("trust"), share("block").alias("distrust"))
+    hosts = stage(hosts, "hosts")
+    scores = stage(spread(host_links(pages), hosts.where("host <> ''"), params), "host-scores")
+    rows = _scored(rows, scores, hosts, params)
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     bound = params.threshold * (1 - params.damping)
     own = F.when((distrust >= bound) & (distrust > trust), "block").otherwise("allow")
-    return rows.join(scores, "host", "left").select(
+    return rows.select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )
 

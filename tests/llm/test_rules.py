@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -58,6 +59,43 @@ def test_a_host_that_links_to_blocked_ones_is_blocked(spark):
     assert {r.page_id: r.verdict for r in found} == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_a_generated_link_graph_against_sql(spark, tmp_path):
+    """Hubs, farms that link to blocked hosts, a host with a third of all pages and urls without a host."""
+    rng = np.random.default_rng(4)
+    hosts = [f"h{i}.{d}" for i, d in enumerate(rng.choice(["com", "net", "org", "example.com", "example.net"], 60))]
+    rows = []
+    for i in range(900):
+        source = "hot.com" if i % 3 == 0 else str(rng.choice(hosts))
+        path = str(rng.choice(["/", "/en/x", "/de/y?z", "/fr/"]))
+        links = "".join(f'<a href="http://{rng.choice(hosts)}/">x</a>' for _ in range(rng.integers(0, 4)))
+        rows.append((i % 890, None if i % 97 == 0 else f"http://{source}{path}", None if i % 89 == 0 else links + '<a href="//hot.com/">h</a>'))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = urlfilter.op9_url_filters(spark, str(tmp_path)).toPandas()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = db.execute(urlfilter.oracle()).df()
+    plain = lambda df: sorted(tuple(None if x != x else x for x in r) for r in df[["page_id", "host", "path", "rule", "verdict"]].itertuples(index=False))
+    assert list(map(str, plain(got))) == list(map(str, plain(want)))
+    ruled = got[got.rule.isna()].groupby("host").verdict.agg(set)
+    assert any(v == {"block"} for v in ruled) and any(v == {"allow"} for v in ruled)
+
+
+def test_scores_of_large_hosts_do_not_depend_on_the_bound(spark):
+    pages = [(i, f"http://{'big' if i % 2 else f'h{i}'}.com/", '<a href="http://bad.net/">b</a>') for i in range(60)] + [(99, "http://bad.net/", None), (100, None, None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = [sorted(map(str, urlfilter.judged(frame, urlfilter.rule_table(spark), urlfilter.SpreadParams(large_hosts=n)).collect())) for n in (1, 5, 1000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 62
+
+
+def test_a_host_of_very_many_labels(spark):
+    """It asks for as many rules as a short one, and nothing of it is spelt out label by label."""
+    pages = spark.createDataFrame([(1, f"http://{'a.' * 200_000}net/x", None), (2, f"http://{'b.' * 200_000}com/x", None)], "page_id long, url string, html string")
+    found = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judged(pages, urlfilter.rule_table(spark)).collect()}
+    assert found == {1: ("net/", "block"), 2: (None, "allow")}
+    rows = pages.select(F.col("page_id").alias("row"), urlfilter.host_of(F.col("url")).alias("host"), F.lit("/").alias("path"))
+    assert rows.select(F.size(urlfilter._suffixes(F.col("host"), [1, 2])).alias("n")).agg(F.max("n")).first()[0] == 2
+
+
 def test_windows_of_short_items_and_at_the_edges(spark):
     items = [("s", "Two words"), ("o", "single"), ("t", "one two three four five six seven eight nine ten eleven"), ("u", "one two three four five six seven eight nine ten ELEVEN")]
     docs = [(1, "xx two, words yy single"), (2, "one two three four five six seven eight nine ten"), (3, "two three four five six seven eight nine ten eleven."), (4, "one two three four five six seven eight nine"), (5, "two wordsy")]
