@@ -48,16 +48,36 @@ SPELLED = {
 }
 INVISIBLE = "​‌‍⁠﻿­"
 
+# Letters that stand for digits.
+DIGIT_LETTERS = {"l": "1", "I": "1", "O": "0", "o": "0"}
+# The words for at with the word for dot that goes with each where neither is bracketed.
+# "at" and "point" are no pair, as "at some point in" is prose.
+WORD_PAIRS = {"at": "punkt", "arobase": "point", "arroba": "punto"}
+
 _DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _DOT = r"(?:dot|point|punkt|punto)"
 _GAP = r"[ \t-]{1,3}"
+_BLANK = r"[ \t]{1,3}"
 _AT_WORD = r"(?:at|arobase|arroba)"
-#: Spelled digits count from four on.
-SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:plus{_GAP})?{_DIGIT}(?:{_GAP}(?:{_DOT}{_GAP})?{_DIGIT}){{3,}}(?!\w)")
-SPELLED_PART = re.compile(rf"(?i)plus|{_DOT}|{_DIGIT}")
-BRACKETED = re.compile(rf"(?i)[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:({_AT_WORD}|@)|({_DOT}|\.))[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}")
+_NUMBER = rf"(?:{_DIGIT}|[0-9]++)"
+#: Digits, spelled or written, count from four on; a run without any word is left as it is.
+SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:plus{_GAP}|\+)?{_NUMBER}(?:{_GAP}(?:{_DOT}{_GAP})?{_NUMBER}){{3,}}(?!\w)")
+SPELLED_PART = re.compile(rf"(?i)plus|\+|{_DOT}|{_DIGIT}|[0-9]")
+DIGIT_LIKE = re.compile(r"(?<![A-Za-z0-9])(?=[lIOo]*[0-9])(?=[0-9]*[lIOo])[0-9lIOo]+(?![A-Za-z0-9])")
+BRACKETED = re.compile(
+    rf"(?i)[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:({_AT_WORD}|@)|({_DOT}|\.))[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}"
+    rf"|(?<=\w){_BLANK}(?:_(?:({_AT_WORD})|({_DOT}))_|\*(?:({_AT_WORD})|({_DOT}))\*){_BLANK}(?=\w)"
+)
 BARE_AT = re.compile(rf"(?i)(?<=\w)[ \t]{{1,3}}{_AT_WORD}[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:[ \t]{{1,3}}dot[ \t]{{1,3}}|\.)[A-Za-z0-9-])")
 BARE_DOT = re.compile(r"(?i)(?<=\w)[ \t]{1,3}dot[ \t]{1,3}(?=\w)")
+WORDED = re.compile(
+    r"(?i)(?<=[A-Za-z0-9_%+-])(?:"
+    + "|".join(rf"(?:{_BLANK}{at}{_BLANK}|@)[A-Za-z0-9-]++(?:{_BLANK}{dot}{_BLANK}[A-Za-z0-9-]++)+" for at, dot in WORD_PAIRS.items())
+    + ")"
+)
+WORDED_AT = re.compile(rf"(?i)@|{_BLANK}{_AT_WORD}{_BLANK}")
+WORDED_DOT = re.compile(rf"(?i){_BLANK}(?:{'|'.join(WORD_PAIRS.values())}){_BLANK}")
+WORDED_LAST = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-]){_BLANK}(?:{'|'.join(WORD_PAIRS.values())}){_BLANK}\Z")
 FOREIGN = re.compile("[^\\x00-\\xac\\xae-\\u0130\\u0132-\\u024f]|\\xad")
 
 
@@ -101,6 +121,28 @@ class Tape:
         return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
 
 
+def _worded(text: str) -> list[tuple[int, int, list[tuple[str, int, int]]]]:
+    """Edits of addresses whose at and dots are bare words: the domain's, then those of the local part, back to its start."""
+    edits, free = [], 0
+    for m in WORDED.finditer(text):
+        at = WORDED_AT.match(text, m.start())
+        own = [(*at.span(), "@")] + [(*d.span(), ".") for d in WORDED_DOT.finditer(text, at.end(), m.end())]
+        start = m.start()
+        while True:
+            while start > free and text[start - 1] in LOCAL_CHARS:
+                start -= 1
+            # The widest dot word with its blanks: 3 + 5 + 3 characters, and the one before.
+            low = max(free, start - 12)
+            dot = WORDED_LAST.search(text[low:start])
+            if not dot:
+                break
+            own.insert(0, (low + dot.start(), low + dot.end(), "."))
+            start = low + dot.start()
+        edits += [(a, b, [(char, a, b)]) for a, b, char in own]
+        free = m.end()
+    return edits
+
+
 def normalised(text: str) -> Tape:
     """The transducers, one after the other."""
     tape = Tape(text)
@@ -111,18 +153,25 @@ def normalised(text: str) -> Tape:
             if char != m[0]:
                 found.append((m.start(), m.end(), [(char, m.start(), m.end())] if char else []))
         tape.rewrite(found)
+    letters = [i for m in DIGIT_LIKE.finditer(tape.text) for i in range(*m.span()) if tape.text[i] in DIGIT_LETTERS]
+    tape.rewrite([(i, i + 1, [(DIGIT_LETTERS[tape.text[i]], i, i + 1)]) for i in letters])
     runs = []
     for m in SPELLED_RUN.finditer(tape.text):
-        out = []
+        out, words = [], False
         for p in SPELLED_PART.finditer(tape.text, *m.span()):
             word = p[0].lower()
-            out.append((SPELLED.get(word) or ("+" if word == "plus" else "."), *p.span()))
-        runs.append((*m.span(), out))
+            words = words or word.isalpha()
+            out.append((SPELLED.get(word) or ("+" if word == "plus" else "." if word.isalpha() else word), *p.span()))
+        if words:
+            runs.append((*m.span(), out))
     tape.rewrite(runs)
-    tape.rewrite([(*m.span(), [("@" if m[1] else ".", *m.span())]) for m in BRACKETED.finditer(tape.text)])
+    tape.rewrite([(*m.span(), [("@" if m[1] or m[3] or m[5] else ".", *m.span())]) for m in BRACKETED.finditer(tape.text)])
     if "dot" in tape.text.lower() or "@" in tape.text or "." in tape.text:
         tape.rewrite([(*m.span(), [("@", *m.span())]) for m in BARE_AT.finditer(tape.text)])
         tape.rewrite([(*m.span(), [(".", *m.span())]) for m in BARE_DOT.finditer(tape.text)])
+    lower = tape.text.lower()
+    if any(word in lower for word in WORD_PAIRS.values()):
+        tape.rewrite(_worded(tape.text))
     return tape
 
 
@@ -221,8 +270,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans (all), n_added.
 
-    Offsets are code points, ends exclusive. A null text is empty. Repeated rows are
-    answered each for itself; other columns are ignored.
+    Offsets are code points, ends exclusive. A null text is empty; a text of any length is
+    read whole, in time linear in its length. Matches that start together can only be of
+    different kinds, and all are given. Repeated rows are answered each for itself; an empty
+    table gives no rows; other columns are ignored.
     """
     return docs.select("doc_id", "text").mapInArrow(
         _find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
