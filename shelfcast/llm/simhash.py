@@ -268,20 +268,26 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) ->
 
 
 def keep_one(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
-    """The row of smallest doc_id of each component, with all its columns; of repeated rows, one."""
-    name = "fp"
-    while name in docs.columns:
-        name += "_"
-    prints = stage(with_fingerprint(docs.select("doc_id", "text"), "fp", params).select("doc_id", "fp"), "prints")
-    grouped = _grouped(prints, params)
-    first = (
-        prints.join(grouped, "fp").groupBy("component_id")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "fp")).alias("x"))
-        .select(F.col("x.id").alias("keep_id"), F.col("x.fp").alias("keep_fp"))
-    )
-    marked = with_fingerprint(docs, name, params)
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["keep_id"]) & (marked[name] == first["keep_fp"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", name]).select(*docs.columns)
+    """The row of smallest doc_id of each component, with all its columns.
+
+    Of rows with that doc_id, null ids last, the one with the least text hash and then the
+    first written stays, so repeated rows leave one. An empty table gives an empty one; texts
+    are hashed whole, whatever their length. Columns of any name are kept. The documents are
+    written once with their fingerprint and a row number; what stays is picked by that number.
+    """
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("fp", "row", "text_hash"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    fp, row, text = names
+    marked = with_fingerprint(docs, fp, params).withColumn(row, F.monotonically_increasing_id()).withColumn(text, F.xxhash64("text"))
+    marked = stage(marked, "marked")
+    prints = marked.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"), F.col(text).alias("text_hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "text_hash", "row")
+    grouped = _grouped(prints.select("doc_id", "fp"), params)
+    first = prints.join(grouped, "fp").groupBy("component_id").agg(F.min(order).alias("x")).select(F.col("x.row").alias(row))
+    return marked.join(first, row, "left_semi").select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,22 @@ def test_chains_of_copies_are_one_component(spark):
     for r in found:
         by_text.setdefault(r.doc_id % 3, set()).add(r.component_id)
     assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_one_row_of_each_group_stays_whatever_its_columns(spark):
+    """Repeated rows, a doc_id with two texts of one fingerprint, null ids, columns named like the own ones."""
+    text = "words that go on and on for a while until they end"
+    rows = [(7, text, 1, "a", "x"), (3, text.upper(), 2, "b", "y"), (3, text, 3, "c", "z"), (3, text, 3, "c", "z"), (None, text, 4, "d", "u"), (None, "other " * 9 + "plain text", 5, "e", "v"), (None, "other " * 9 + "plain text", 5, "e", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, FP int, row string, text_hash string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = sorted(map(tuple, kept.collect()), key=str)
+    assert len(found) == 2 and found[0][0] == 3 and found[1][0] is None and found[0] in rows
+    again = simhash.keep_one(docs.repartition(5).orderBy("row")).collect()
+    assert sorted(map(tuple, again), key=str) == found
+
+
+def test_texts_are_hashed_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "x") for i in range(50)], "doc_id long, text string, source string")
+    plan = simhash.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Aggregate" in plan
