@@ -16,6 +16,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -26,6 +28,11 @@ from pyspark.sql import functions as F
 from shelfcast.llm.common import batch_of, stage, table
 from shelfcast.sources.staging import stage_path
 
+#: Archives that a task holds open.
+OPEN_FILES = 16
+# What a URI may hold besides letters and digits; a percent sign stands as it is.
+URI_CHARS = "-._~:/?#[]@!$&'()*+,;=%"
+
 
 @dataclass(frozen=True)
 class WarcParams:
@@ -62,39 +69,65 @@ class Folder:
 
     def __init__(self, uri: str):
         self.fs, self.root = pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+        self.held = {}
 
     def create(self, name: str):
         self.fs.create_dir(self.root, recursive=True)
         return self.fs.open_output_stream(f"{self.root}/{name}", compression=None)
 
     def read(self, name: str, offset: int | None = None, length: int | None = None) -> bytes:
-        with self.fs.open_input_file(f"{self.root}/{name}") as file:
-            if offset is None:
+        """A file, or ``length`` bytes of it; the files of the last range reads stay open."""
+        if offset is None:
+            with self.fs.open_input_file(f"{self.root}/{name}") as file:
                 return file.read()
-            file.seek(offset)
-            return file.read(length)
+        file = self.held.pop(name, None) or self.fs.open_input_file(f"{self.root}/{name}")
+        self.held[name] = file
+        if len(self.held) > OPEN_FILES:
+            self.held.pop(next(iter(self.held))).close()
+        file.seek(offset)
+        return file.read(length)
+
+
+def packed(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """A WARC/1.1 record as a gzip member."""
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {len(block)}"]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that an archive begins with."""
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("WARC-Filename", name)]
+    return packed([*fields, ("Content-Type", "application/warc-fields")], b"software: shelfcast\r\nformat: WARC File Format 1.1\r\n")
+
+
+def target(url: str | None) -> str:
+    """A URI for the header: what may not stand there is percent-encoded; without a url, a name."""
+    return quote(url, safe=URI_CHARS) if url else "urn:none"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC/1.1 record as a gzip member; a revisit has the HTTP header only."""
+    """The record of a page, with an id of its own; a revisit has the HTTP header only.
+
+    Page numbers have fields of their own, as a page_id may be repeated. The url as it was given
+    is added where the header's URI is another.
+    """
     revisit = refers_to is not None
     header = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = header if revisit else header + payload
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{json.dumps(page_id)}>",
-        f"WARC-Target-URI: {json.dumps(url)}",
-        f"WARC-Date: {date}",
-        f"WARC-Payload-Digest: sha1:{sha}",
-        "Content-Type: application/http;msgtype=response",
-        f"Content-Length: {len(block)}",
+    fields = [
+        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
+        ("WARC-Target-URI", target(url)),
+        ("WARC-Date", date),
+        ("WARC-Payload-Digest", f"sha1:{sha}"),
+        ("Content-Type", "application/http;msgtype=response"),
+        ("Page-ID", json.dumps(page_id)),
     ]
+    if target(url) != url:
+        fields.append(("Page-URL", json.dumps(url)))
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{json.dumps(refers_to)}>"]
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    raw = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
-    return packer.compress(raw) + packer.flush()
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Refers-To-Page-ID", json.dumps(refers_to))]
+    return packed(fields, header if revisit else header + payload)
 
 
 def parsed(member: bytes) -> dict:
@@ -105,12 +138,12 @@ def parsed(member: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(http.decode().lower().partition("content-length: ")[2].partition("\r\n")[0])
-    urn = lambda x: json.loads(x.removeprefix("<urn:page:").removesuffix(">"))
     revisit = fields["WARC-Type"] == "revisit"
     return {
-        "type": fields["WARC-Type"], "page_id": urn(fields["WARC-Record-ID"]), "url": json.loads(fields["WARC-Target-URI"]),
+        "type": fields["WARC-Type"], "page_id": json.loads(fields["Page-ID"]),
+        "url": json.loads(fields["Page-URL"]) if "Page-URL" in fields else fields["WARC-Target-URI"],
         "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "size": size, "payload": None if revisit else payload,
-        "refers_to": urn(fields["WARC-Refers-To"]) if revisit else None,
+        "refers_to": json.loads(fields["Refers-To-Page-ID"]) if revisit else None,
     }
 
 
@@ -136,7 +169,11 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams) -> DataFra
         for b in batches:
             found = []
             for page_id, url, html, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                sink = sink or Folder(folder).create(name)
+                if sink is None:
+                    sink = Folder(folder).create(name)
+                    first_record = info(name, params.date)
+                    sink.write(first_record)
+                    at = len(first_record)
                 payload = (html or "").encode()
                 member = record(page_id, url, payload, digest(payload), refers_to, params.date)
                 sink.write(member)
@@ -225,28 +262,33 @@ def lookup(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
     held = sorted((r["first"].encode(), r["name"]) for r in shards.select("first", "name").collect())
     firsts, names = [f for f, _ in held], [n for _, n in held]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, opened = Folder(folder), {}
+    def places(batches: Iterator[pa.RecordBatch], files: Folder) -> Iterator[tuple[str, int, int]]:
+        opened = {}
         for b in batches:
-            found, size = [], 0
             for key in b.column("key").to_pylist():
                 # A key's captures may begin in the shard before the first that starts with it.
                 at = max(0, bisect.bisect_left(firsts, key.encode()) - 1)
                 while at < len(names) and firsts[at] <= key.encode():
                     if names[at] not in opened:
                         opened = {names[at]: Shard(files, names[at])}
-                    for file, offset, length in opened[names[at]].find(key):
-                        got = parsed(files.read(file, offset, length))
-                        payload = got["payload"]
-                        if payload is not None and (digest(payload) != got["digest"] or len(payload) != got["size"]):
-                            raise ValueError(f"{file} at {offset}: the payload differs from its digest")
-                        found.append((got["page_id"], got["size"], got["digest"], got["type"], got["refers_to"], got["url"], payload))
-                        size += len(payload or b"")
+                    yield from opened[names[at]].find(key)
                     at += 1
-                if size > 4 << 20:
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, found, size = Folder(folder), [], 0
+        # Some thousands at a time in the order of the archives, each of which is then opened once for many records.
+        for some in batched(places(batches, files), 1 << 14):
+            for file, offset, length in sorted(some):
+                got = parsed(files.read(file, offset, length))
+                payload = got["payload"]
+                if payload is not None and (digest(payload) != got["digest"] or len(payload) != got["size"]):
+                    raise ValueError(f"{file} at {offset}: the payload differs from its digest")
+                found.append((got["page_id"], got["size"], got["digest"], got["type"], got["refers_to"], got["url"], payload))
+                size += len(payload or b"")
+                if size > 4 << 20 or len(found) >= 4096:
                     yield batch_of(READ, found)
                     found, size = [], 0
-            yield batch_of(READ, found)
+        yield batch_of(READ, found)
 
     # A number of tasks, as short keys stand for long records and would be coalesced.
     tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,5 +1,6 @@
 """Quality measures, URL spreading, windows at the edges, and the archive's index."""
 
+import zlib
 from collections import Counter
 
 import duckdb
@@ -115,6 +116,27 @@ def test_surt():
     assert warc.surt(None) == ")" and warc.surt("plain") == ")plain"
 
 
+def test_records_are_plain_warc(spark):
+    """A bare URI, an id of its own for each record, an info record first; urls come back as they were."""
+    urls = ["http://a.org/x y\r\nEvil: 1", "http://a.org/ü%20z", "http://a.org/%", "http://a.org/", "", None, "plain", '"q"']
+    ids = set()
+    for url in urls:
+        member = warc.record(None, url, "<p>ü</p>".encode(), "X", None, "2000-01-01T00:00:00Z")
+        head = zlib.decompress(member, 31).partition(b"\r\n\r\n")[0].decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in head[1:])
+        assert head[0] == "WARC/1.1" and "Evil" not in fields
+        assert fields["WARC-Target-URI"].isascii() and not set(fields["WARC-Target-URI"]) & set(' "<>\\^`{|}')
+        ids.add(fields["WARC-Record-ID"])
+        assert warc.parsed(member)["url"] == url and warc.parsed(member)["payload"] == "<p>ü</p>".encode()
+    assert len(ids) == len(urls)
+    folder = stage_path(spark, "warc")
+    pages = spark.createDataFrame([(1, "http://a.org/", "x")], "page_id long, url string, html string")
+    place = warc.write_archives(pages, folder, warc.WarcParams()).first()
+    whole = warc.Folder(folder).read(place.file)
+    assert b"WARC-Type: warcinfo" in zlib.decompressobj(31).decompress(whole) and place.offset > 0
+    assert len(whole) == place.offset + place.length
+
+
 def test_lookups_through_small_blocks(spark):
     rows = [(i, f"http://h{i % 7}.org/p{i % 50}", f"<p>{i % 20}</p>" * (i % 5)) for i in range(300)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
