@@ -139,7 +139,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, params: Decontamination
 
     Null texts have no words; items without words have no windows; items shorter than a
     window are one. Repeated rows give repeated results. An item whose id is null counts
-    for ``n_hit`` but, having no name, neither for ``n_items`` nor the digest. Other columns are ignored.
+    for ``n_hit`` but, having no name, neither for ``n_items`` nor the digest. Items with the same
+    window all count. Texts are read whole, whatever their length. An empty table of documents
+    gives no rows, an empty benchmark no hits. Other columns are ignored.
     """
     hits = _hits(docs, benchmark, params)
     base = docs.select("doc_id", *_marks(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
@@ -172,7 +174,10 @@ def _hits(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with all their columns."""
+    """The rows of ``docs`` that hold no window of the benchmark, with all their columns.
+
+    Null and empty texts hold none; repeated rows stay or go together.
+    """
     found, _ = occurrences(docs, benchmark, params)
     hit = found.select(F.col("doc_id").alias("_hit_id"), F.col("t1").alias("_hit_1"), F.col("t2").alias("_hit_2")).distinct()
 

@@ -141,7 +141,9 @@ def pack(docs: DataFrame, params: PackingParams = PackingParams()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row for each piece.
 
     A null or empty text is one piece of the end id. Repeated rows are packed each for
-    itself; other columns are ignored; an empty table gives no rows. The driver sees one
+    itself; other columns are ignored; an empty table gives no rows. Texts of any length are
+    cut into pieces, all of which are packed; pieces of one length are interchangeable and
+    dealt in the order they were written. The driver sees one
     count for each length, ``tokens`` at most. Ranks come from counts per written
     partition and length, so no length, however common, is gathered.
     """

@@ -206,8 +206,10 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     five-word windows. It fails the method if its character classes or its common words
     are further (Jensen-Shannon) from its language's reference than the thresholds, and
     so are they from every other reference; texts shorter than the guards pass. A null
-    text has no words; a null or missing language is one more language. Repeated rows are
-    judged each for itself; other columns are ignored.
+    text has no words; a null or missing language is one more language. Common words of
+    equal count are taken in byte order; texts are judged whole, whatever their length.
+    Repeated rows are judged each for itself; an empty table gives no rows; other columns
+    are ignored.
     """
     docs = docs.select("doc_id", "text", docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
     refs = references(docs, rules)

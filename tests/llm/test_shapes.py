@@ -49,6 +49,13 @@ def test_one_row_for_each_document(spark, name):
     assert PER_DOCUMENT[name](spark, documents(spark, [])).count() == 0
 
 
+def test_an_empty_benchmark_hits_nothing(spark):
+    none = benchmark(spark).where("false")
+    rows = decontaminate.contamination(documents(spark), none).collect()
+    assert len(rows) == 8 and not any(r.contaminated or r.n_hit or r.n_items for r in rows)
+    assert decontaminate.clean(documents(spark), none).count() == 8
+
+
 def test_packing_of_odd_rows(spark):
     rows = packing.pack(documents(spark)).collect()
     assert {r.doc_id for r in rows} == {1, 2, 3, None, 5, 6, 7}
