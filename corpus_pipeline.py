@@ -46,7 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again by the next."""
+    """All stages over ``documents``; each result is written and read again by the next.
+
+    Null and empty texts have too few words and go in the first stage; repeated rows are near
+    duplicates and leave one; an empty table gives no sequences; other columns are carried up
+    to the last stage. Texts are read whole by every stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name)
