@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.sources.staging import stage
 
-__all__ = ["Chunks", "batch_of", "chunked", "components", "return_to_chunks", "rows_of", "stage", "table"]
+__all__ = ["Chunks", "batch_of", "bucket_count", "chunked", "components", "return_to_chunks", "rows_of", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,11 +80,18 @@ def chunked(docs: DataFrame, path: str, chunk_bits: int) -> DataFrame:
     return docs.sparkSession.read.schema(kept.schema).parquet(path)
 
 
+def bucket_count(spark: SparkSession, n_bytes: int) -> int:
+    """Buckets for what goes back to the chunks of a table: one for 256 MB of it, the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes >> 28)
+
+
 def return_to_chunks(rows: DataFrame, path: str, buckets: int) -> None:
     """Writes ``rows`` (chunk, ..) so that a chunk's are together in a file of its bucket, for ``Chunks`` to read."""
     chunk = F.col("chunk")
     bucket = F.pmod(F.shiftright(chunk, 20) * 31 + chunk.bitwiseAND(F.lit(0xFFFFF)), F.lit(buckets))
-    dealt = rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    # Buckets are numbers of partitions, so a task writes exactly one.
+    numbered = rows.withColumn("bucket", bucket.cast("int"))
+    dealt = numbered.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk")
     dealt.write.partitionBy("bucket").parquet(path)
 
 

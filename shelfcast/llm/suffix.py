@@ -27,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import Chunks, chunked, return_to_chunks, rows_of, table
+from shelfcast.llm.common import Chunks, bucket_count, chunked, return_to_chunks, rows_of, stage, table
 from shelfcast.sources.staging import stage_path
 
 
 @dataclass(frozen=True)
 class SuffixParams:
-    """Bytes of a repeat, bytes hashed at an anchor, rows of a chunk (a power of two), and sizes of what a task merges.
+    """Bytes of a repeat, bytes hashed at an anchor, rows of a chunk (a power of two), and sizes of what a task holds and merges.
 
-    Only the ranges between tasks are fitted on a sample, of ``sample_docs`` documents;
-    they decide where a suffix is merged and not what is found.
+    Only the ranges between tasks are fitted on a sample, of ``sample_per_part`` suffixes for
+    each of them, from ``sample_docs`` documents at least; they decide where a suffix is
+    merged and not what is found.
     """
 
     length: int = 200
@@ -45,6 +46,9 @@ class SuffixParams:
     hashes_per_part: int = 1_000_000
     suffixes_per_part: int = 100_000
     sample_docs: int = 2_000
+    sample_per_part: int = 32
+    held_bytes: int = 1 << 25
+    run_places: int = 1 << 19
 
     @property
     def window(self) -> int:
@@ -108,12 +112,31 @@ def blocks(raw: np.ndarray, hasher: Hasher, params: SuffixParams) -> Iterator[tu
         yield start, h, sliding(h, params.window, np.minimum)
 
 
+def stretches(raw: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the longest stretches of one byte that have ``least`` bytes or more."""
+    step = max(1, least // 3)
+    few = raw[::step]
+    if not ((few[2:] == few[1:-1]) & (few[1:-1] == few[:-2])).any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(raw[1:] != raw[:-1]) + 1, [len(raw)]])
+    long = np.diff(edges) >= least
+    return edges[:-1][long], edges[1:][long]
+
+
 def anchors(raw: np.ndarray, hasher: Hasher, params: SuffixParams) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes): every place that holds the least hash of some string of ``length``."""
+    """(places, hashes): every place that holds the least hash of some string of ``length``.
+
+    Of a stretch of one byte longer than ``length`` only the first and the last gram are
+    anchors: a string that holds neither lies inside, and starts one byte on too.
+    """
     places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    firsts, ends = stretches(raw, params.length + 1)
     for start, h, low in blocks(raw, hasher, params):
         pad = np.zeros(params.window - 1, np.uint64)
         at = np.flatnonzero(h == sliding(np.concatenate([pad, low, pad]), params.window, np.maximum))
+        if len(firsts):
+            which = np.maximum(np.searchsorted(firsts, at + start, "right") - 1, 0)
+            at = at[(at + start <= firsts[which]) | (at + start >= ends[which] - params.gram)]
         places.append(at + start)
         hashes.append(h[at])
     places, hashes = np.concatenate(places), np.concatenate(hashes)
@@ -195,24 +218,47 @@ Ask = Callable[[int, bytes, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarra
 Asked = Callable[[int], Ask]
 
 
-def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
-    """(chunk, [(row, bytes)]) of the texts long enough to hold a repeat."""
-    current, held = None, []
+def _by_chunk(batches: Iterator[pa.RecordBatch], params: SuffixParams) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(chunk, [(row, bytes)]) of the texts long enough to hold a string of ``length``.
+
+    A chunk of more than ``held_bytes`` comes in parts; each is a run of its own.
+    """
+    current, held, size = None, [], 0
     for row, chunk, text in rows_of(batches, "row", "chunk", "text"):
-        if chunk != current:
-            if held:
-                yield current, held
-            current, held = chunk, []
-        held.append((row, (text or "").encode()))
+        raw = (text or "").encode()
+        if len(raw) < params.length:
+            continue
+        if held and (chunk != current or size + len(raw) > params.held_bytes):
+            yield current, held
+            held, size = [], 0
+        current = chunk
+        held.append((row, raw))
+        size += len(raw)
     if held:
         yield current, held
 
 
-def count(docs: DataFrame, path: str, asked: Asked, marked: bool, parts: int, buckets: int) -> None:
+def _parts_of(rows: list[tuple[int, bytes]], places: list[list[int]], most: int) -> Iterator[list[tuple[int, bytes, list[int]]]]:
+    """(row, bytes, places) in lists of ``most`` places at most."""
+    held, size = [], 0
+    for (row, raw), here in zip(rows, places, strict=True):
+        at = 0
+        while at < len(here):
+            some = here[at : at + most - size]
+            held.append((row, raw, some))
+            at, size = at + len(some), size + len(some)
+            if size == most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def count(docs: DataFrame, path: str, asked: Asked, marked: bool, parts: int, buckets: int, params: SuffixParams) -> None:
     """Returns to each chunk those of its hashes that the table has twice or more; if ``marked``, and that carry a mark anywhere."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows in _by_chunk(batches):
+        for chunk, rows in _by_chunk(batches, params):
             ask, hashes, marks = asked(chunk), [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for row, raw in rows:
                 _, h, m = ask(row, raw, np.frombuffer(raw, np.uint8))
@@ -264,7 +310,11 @@ def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Reading:
-    """What is compared at a place of a text, and the first bytes that bound the ranges."""
+    """What is compared at a place of a text, and the suffixes that begin the ranges.
+
+    Such a suffix is sent to the range it ends too. So each suffix meets both its neighbours,
+    wherever the order is cut: between any two strings, however much they share.
+    """
 
     cut: Callable[[bytes, int], bytes]
     splitters: list[bytes]
@@ -273,11 +323,11 @@ class Reading:
 STRIDE = 1 << 24
 
 
-def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, readings: list[Reading], buckets: int) -> None:
+def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, readings: list[Reading], buckets: int, params: SuffixParams) -> None:
     """Returns to each chunk (reading, row, place, longest repeat) of the places whose hash ``count`` gave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows in _by_chunk(batches):
+        for chunk, rows in _by_chunk(batches, params):
             wanted = loaded(hash_path, buckets, chunk)
             if not len(wanted):
                 continue
@@ -285,23 +335,11 @@ def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, readings: lis
             for row, raw in rows:
                 at, h, _ = ask(row, raw, np.frombuffer(raw, np.uint8))
                 places.append(np.unique(at[among(h, wanted)]).tolist())
-            for reading, how in enumerate(readings):
-                found: dict[bytes, list[tuple[int, int]]] = {}
-                for (row, raw), here in zip(rows, places, strict=True):
-                    for p in here:
-                        found.setdefault(how.cut(raw, p), []).append((row, p))
-                parts, slices, last = [], [], b""
-                for text in sorted(found):
-                    part = reading * STRIDE + bisect.bisect_right(how.splitters, text[:16])
-                    if not parts or parts[-1] != part:
-                        parts.append(part)
-                        slices.append([])
-                        last = b""
-                    shared = prefix(last, text)
-                    slices[-1].append((text[shared:], shared, found[text]))
-                    last = text
-                blobs = [zlib.compress(pickle.dumps(_packed(s)), 3) for s in slices]
-                yield pa.record_batch({"part": pa.array(parts, pa.int64()), "chunk": pa.array([chunk] * len(parts), pa.int64()), "data": pa.array(blobs, pa.binary())})
+            for some in _parts_of(rows, places, params.run_places):
+                for reading, how in enumerate(readings):
+                    parts, blobs = _run(some, how)
+                    numbers = pa.array([reading * STRIDE + p for p in parts], pa.int64())
+                    yield pa.record_batch({"part": numbers, "chunk": pa.array([chunk] * len(parts), pa.int64()), "data": pa.array(blobs, pa.binary())})
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         packed = [pickle.loads(zlib.decompress(d)) for d in group["data"]]
@@ -315,6 +353,26 @@ def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, readings: lis
     return_to_chunks(runs.groupBy("part").applyInPandas(merged, "chunk long, reading long, data binary"), path, buckets)
 
 
+def _run(some: list[tuple[int, bytes, list[int]]], how: Reading) -> tuple[list[int], list[bytes]]:
+    """The sorted suffixes of these places without repeats: ranges, and a front-coded slice for each."""
+    found: dict[bytes, list[tuple[int, int]]] = {}
+    for row, raw, here in some:
+        for p in here:
+            found.setdefault(how.cut(raw, p), []).append((row, p))
+    parts, slices, last = [], [], b""
+    for text in sorted(found):
+        part = bisect.bisect_right(how.splitters, text)
+        for to in (part - 1, part) if part and how.splitters[part - 1] == text else (part,):
+            if not parts or parts[-1] != to:
+                parts.append(to)
+                slices.append([])
+                last = b""
+            shared = prefix(last, text)
+            slices[-1].append((text[shared:], shared, found[text]))
+            last = text
+    return parts, [zlib.compress(pickle.dumps(_packed(s)), 3) for s in slices]
+
+
 def _packed(entries: list[tuple[bytes, int, list[tuple[int, int]]]]) -> tuple:
     """A front-coded slice: rests joined, their lengths, shared prefixes, and rows and places of each suffix."""
     held = [x for _, _, places in entries for x in places]
@@ -339,6 +397,10 @@ def results(path: str, buckets: int, chunk: int, reading: int = 0) -> dict[int,
     row, place, longest = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.lexsort((place, row))
     row, place, longest = row[order], place[order], longest[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1])])
+    if not new.all():  # a suffix that begins a range was merged in two
+        at = np.flatnonzero(new)
+        row, place, longest = row[at], place[at], np.maximum.reduceat(longest, at)
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     ends = [*first[1:], len(row)]
     return {int(row[a]): (place[a:b].astype(np.int64), longest[a:b].astype(np.int64)) for a, b in zip(first, ends, strict=True)}
@@ -352,9 +414,10 @@ def _marked(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def spans_of(ahead, behind, exact, params: SuffixParams) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the repeats of ``length`` or more that the sorts found for a document."""
-    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def spans_of(raw: np.ndarray, ahead, behind, exact, params: SuffixParams) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the repeats of ``length`` or more that the sorts found for a document, and of its stretches of one byte."""
+    first, last = stretches(raw, params.length + 1)
+    starts, ends = [first], [last]
     for found, backwards in ((ahead, False), (behind, True), (exact, False)):
         if found is not None:
             place, longest = (x[found[1] >= params.length] for x in found)
@@ -371,7 +434,7 @@ def owned(raw: np.ndarray, ahead, behind, hasher: Hasher, params: SuffixParams):
     repeat to the string's end and, with its gram, back to the string's start.
     """
     n = len(raw) - params.length + 1
-    a, z = spans_of(ahead, behind, None, params)
+    a, z = spans_of(raw, ahead, behind, None, params)
     known = _marked(n, a, z - params.length + 1)
     place, longest = ahead
     back = np.zeros(len(place), np.int64)
@@ -412,15 +475,16 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
 
     Removed is every byte under a string of ``length`` bytes that starts in another place
     too, in any document. A null text is empty; texts shorter than ``length`` keep all.
-    Repeated rows repeat each other. Other columns are ignored; an empty table gives no rows.
+    Repeated rows repeat each other; of equal strings all go, none is favoured. Texts are read
+    whole: a task holds ``held_bytes`` of them, or one longer text, and sorts ``run_places``
+    suffixes at once. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     root = stage_path(spark, "suffixes")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = chunked(docs.select("doc_id", "text"), f"{root}/docs", params.chunk_bits)
     size = kept.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     total, rows = size["bytes"] or 0, max(1, size["n"])
-    forward, backward = _splitters(kept, rows, total, params)
+    buckets = bucket_count(spark, total)
     parts = min(1 << 15, max(1, round(total * 2 / (params.window + 1) / params.hashes_per_part)))
 
     def at_anchors(chunk: int) -> Ask:
@@ -440,8 +504,9 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
         return raw[max(0, end - params.reach) : end][::-1]
 
     grams_path, both_path, open_path, strings_path, exact_path = (f"{root}/{n}" for n in ("grams", "both", "open", "strings", "exact"))
-    count(kept, grams_path, at_anchors, False, parts, buckets)
-    sort(kept, grams_path, both_path, at_anchors, [Reading(ahead, forward), Reading(behind, backward)], buckets)
+    count(kept, grams_path, at_anchors, False, parts, buckets, params)
+    forward, backward = _splitters(kept, rows, total, grams_path, buckets, (ahead, behind), params)
+    sort(kept, grams_path, both_path, at_anchors, [Reading(ahead, forward), Reading(behind, backward)], buckets, params)
     nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
 
     def still_open(chunk: int) -> Ask:
@@ -479,9 +544,9 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
 
         return ask
 
-    count(kept, open_path, still_open, True, parts, buckets)
-    count(kept, strings_path, open_strings, True, parts, buckets)
-    sort(kept, strings_path, exact_path, open_strings, [Reading(lambda raw, p: raw[p : p + params.length], forward)], buckets)
+    count(kept, open_path, still_open, True, parts, buckets, params)
+    count(kept, strings_path, open_strings, True, parts, buckets, params)
+    sort(kept, strings_path, exact_path, open_strings, [Reading(lambda raw, p: raw[p : p + params.length], forward)], buckets, params)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -491,7 +556,7 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
                 if chunk != current:
                     current, held = chunk, [results(*x) for x in ((both_path, buckets, chunk, 0), (both_path, buckets, chunk, 1), (exact_path, buckets, chunk, 0))]
                 raw = (text or "").encode()
-                starts, ends = spans_of(*(h.get(row) for h in held), params)
+                starts, ends = spans_of(np.frombuffer(raw, np.uint8), *(h.get(row) for h in held), params)
                 if not len(starts):
                     out.append((doc_id, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), []))
                     continue
@@ -505,26 +570,48 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     return kept.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
 
 
-def _splitters(kept: DataFrame, rows: int, total: int, params: SuffixParams) -> list[list[bytes]]:
-    """First bytes, forwards and backwards, that bound the ranges; their number grows with the table."""
-    ranges = max(1, round(total * 2 / (params.window + 1) / params.suffixes_per_part))
-    share = max(1, rows // params.sample_docs)
+def _splitters(kept: DataFrame, rows: int, total: int, hash_path: str, buckets: int, cuts: tuple, params: SuffixParams) -> list[list[bytes]]:
+    """Suffixes of each reading that begin the ranges, up to 32,768; the driver gets these and not the sample.
+
+    The sample is of suffixes that are sorted, so copies and common passages weigh as much
+    in it as in the merge. It grows with the number of ranges.
+    """
+    anchored = total * 2 / (params.window + 1)
+    ranges = min(1 << 15, max(1, round(anchored / params.suffixes_per_part)))
+    if ranges == 1:
+        return [[] for _ in cuts]
+    wanted = ranges * params.sample_per_part
+    share = max(1, rows // max(params.sample_docs, wanted // 16))
+    step = max(1, int(anchored / share / wanted))
     some = kept.where((F.pmod(F.xxhash64("row"), F.lit(share)) == 0) & (F.octet_length("text") >= params.length))
-    texts = some.select("text")
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for chunk, held in _by_chunk(batches, params):
+            hashes, found = loaded(hash_path, buckets, chunk), [[] for _ in cuts]
+            for row, raw in held:
+                places, h = anchors(np.frombuffer(raw, np.uint8), hasher, params)
+                for p in places[among(h, hashes)][row % step :: step].tolist():
+                    for of, cut in zip(found, cuts, strict=True):
+                        of.append(cut(raw, p))
+            which = np.repeat(np.arange(len(cuts)), [len(f) for f in found])
+            yield pa.record_batch({"reading": pa.array(which, pa.int64()), "suffix": pa.array([t for f in found for t in f], pa.binary())})
+
+    sample = stage(some.select("row", "chunk", "text").mapInArrow(sampled, "reading long, suffix binary"), "sample")
+    every = max(1, sample.count() // (len(cuts) * ranges))
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = every - every // 2
         for b in batches:
-            found = []
-            for text in b.column(0).to_pylist():
-                raw = text.encode()
-                step = max(1, len(raw) // 8)
-                found += [raw[i : i + 16] for i in range(0, len(raw), step)]
-            yield pa.record_batch({"t": pa.array(found, pa.binary())})
-
-    sample = [bytes(r.t) for r in texts.mapInArrow(places, "t binary").collect()]
-    at = [round(i * len(sample) / ranges) for i in range(1, ranges)]
-    both = sorted(sample), sorted(t[::-1] for t in sample)
-    return [sorted({found[i] for i in at if i < len(found)}) for found in both]
+            at = np.arange((-seen) % every, b.num_rows, every)
+            seen += b.num_rows
+            yield b.take(pa.array(at))
+
+    ordered = sample.repartitionByRange(max(2, ranges // 64), "reading", "suffix").sortWithinPartitions("reading", "suffix")
+    chosen: list[set[bytes]] = [set() for _ in cuts]
+    for r in ordered.mapInArrow(thinned, sample.schema).collect():
+        chosen[r.reading].add(bytes(r.suffix))
+    return [sorted(c) for c in chosen]
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

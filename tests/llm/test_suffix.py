@@ -47,6 +47,7 @@ def corpus():
         suffix.SuffixParams(),
         suffix.SuffixParams(chunk_bits=3, hashes_per_part=50, suffixes_per_part=40),
         suffix.SuffixParams(length=60, gram=20, chunk_bits=2),
+        suffix.SuffixParams(suffixes_per_part=10, sample_per_part=400, held_bytes=1_500, run_places=7),
     ],
 )
 def test_against_a_dictionary_of_strings(spark, params):
@@ -55,6 +56,33 @@ def test_against_a_dictionary_of_strings(spark, params):
     assert sorted(tuple(r)[:5] for r in got) == plain(docs, params.length)
 
 
+def test_stretches_of_one_byte(spark):
+    docs = [(n, "x" * n) for n in (199, 200, 201, 202, 300, 301, 302, 403)]
+    docs += [(1000 + n, f"left {n % 3} " + "x" * n + f" right {n % 2}") for n in (99, 100, 101, 150, 199, 200, 201, 202, 299, 450, 451)]
+    docs += [(2000, "y" * 250 + "x" * 500 + "y" * 250), (2001, "z" + "x" * 200 + "y" * 201), (2002, "xy" * 300), (2003, "q" * 300_000)]
+    got = suffix.repeated_bytes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[:5] for r in got) == plain(docs, 200)
+    places, _ = suffix.anchors(np.frombuffer(b"q" * 300_000, np.uint8), suffix.Hasher(), suffix.SuffixParams())
+    assert places.tolist() == [0, 300_000 - 100]
+
+
+def test_ranges_part_strings_with_a_long_common_start(spark):
+    rnd = random.Random(9)
+    start = "".join(rnd.choice("abcdefgh") for _ in range(260))
+    docs = [(i, start + "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 120)))) for i in range(80)]
+    docs += [(100 + i, "pre " * i + start[: rnd.randint(150, 260)] + docs[i][1][260:]) for i in range(20)]
+    params = suffix.SuffixParams(chunk_bits=3, suffixes_per_part=20, sample_per_part=200)
+    seen = []
+    original = suffix._splitters
+    try:
+        suffix._splitters = lambda *x: seen.append(original(*x)) or seen[-1]
+        got = suffix.repeated_bytes(spark.createDataFrame(docs, "doc_id long, text string"), params).collect()
+    finally:
+        suffix._splitters = original
+    assert sorted(tuple(r)[:5] for r in got) == plain(docs, 200)
+    assert any(suffix.prefix(a, b) >= 100 for found in seen[0] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_a_text_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(suffix, "BLOCK", 64)
     params, hasher = suffix.SuffixParams(length=60, gram=20), suffix.Hasher()
