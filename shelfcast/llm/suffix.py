@@ -17,13 +17,13 @@ from __future__ import annotations
 import bisect
 import hashlib
 import pickle
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,17 +130,22 @@ def anchors(raw: np.ndarray, hasher: Hasher, params: SuffixParams) -> tuple[np.n
     anchors: a string that holds neither lies inside, and starts one byte on too.
     """
     places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    firsts, ends = stretches(raw, params.length + 1)
+    blocked = len(raw) - params.length + 1 > BLOCK
+    found = stretches(raw, params.length + 1) if blocked else None
     for start, h, low in blocks(raw, hasher, params):
         pad = np.zeros(params.window - 1, np.uint64)
         at = np.flatnonzero(h == sliding(np.concatenate([pad, low, pad]), params.window, np.maximum))
-        if len(firsts):
+        # In a text of one block a stretch shows as more anchors side by side than a string has grams.
+        if found is None and len(at) > params.window and (at[params.window :] - at[: -params.window] == params.window).any():
+            found = stretches(raw, params.length + 1)
+        if found is not None and len(found[0]):
+            firsts, ends = found
             which = np.maximum(np.searchsorted(firsts, at + start, "right") - 1, 0)
             at = at[(at + start <= firsts[which]) | (at + start >= ends[which] - params.gram)]
         places.append(at + start)
         hashes.append(h[at])
     places, hashes = np.concatenate(places), np.concatenate(hashes)
-    if len(raw) - params.length + 1 > BLOCK:
+    if blocked:
         places, first = np.unique(places, return_index=True)
         hashes = hashes[first]
     return places, hashes
@@ -271,11 +276,11 @@ def count(docs: DataFrame, path: str, asked: Asked, marked: bool, parts: int, bu
             part = (own * np.uint64(parts) >> np.uint64(HASH_BITS)).astype(np.int64)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             used = np.flatnonzero(np.diff(cuts))
-            blobs = [zlib.compress(np.diff(coded[cuts[i] : cuts[i + 1]], prepend=np.uint64(0)).tobytes(), 1) for i in used]
-            yield pa.record_batch({"part": pa.array(used, pa.int64()), "chunk": pa.array([chunk] * len(used), pa.int64()), "data": pa.array(blobs, pa.binary())})
+            blobs = [zstandard.compress(np.diff(coded[cuts[i] : cuts[i + 1]], prepend=np.uint64(0)).tobytes(), 1) for i in used]
+            yield pa.record_batch({"part": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int64()), "data": pa.array(blobs, pa.binary())})
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        coded = [np.cumsum(np.frombuffer(zlib.decompress(d), np.uint64)) for d in group["data"]]
+        coded = [np.cumsum(np.frombuffer(zstandard.decompress(d), np.uint64)) for d in group["data"]]
         every = np.concatenate(coded)
         own, n = np.unique(every >> np.uint64(2), return_counts=True)
         twice = np.union1d(own[n > 1], every[(every & np.uint64(1)).astype(bool)] >> np.uint64(2))
@@ -287,8 +292,9 @@ def count(docs: DataFrame, path: str, asked: Asked, marked: bool, parts: int, bu
         kept = pd.DataFrame({"chunk": group["chunk"], "data": out})
         return kept[kept["data"].str.len() > 0]
 
-    dealt = docs.select("row", "chunk", "text").mapInArrow(deal, "part long, chunk long, data binary")
-    return_to_chunks(dealt.groupBy("part").applyInPandas(pick, "chunk long, data binary"), path, buckets)
+    dealt = docs.select("row", "chunk", "text").mapInArrow(deal, "part int, chunk long, data binary")
+    # Parts are numbers of partitions, so tasks get as many parts each.
+    return_to_chunks(dealt.repartitionById(buckets, F.col("part")).groupBy("part").applyInPandas(pick, "chunk long, data binary"), path, buckets)
 
 
 def loaded(path: str, buckets: int, chunk: int) -> np.ndarray:
@@ -338,19 +344,19 @@ def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, readings: lis
             for some in _parts_of(rows, places, params.run_places):
                 for reading, how in enumerate(readings):
                     parts, blobs = _run(some, how)
-                    numbers = pa.array([reading * STRIDE + p for p in parts], pa.int64())
+                    numbers = pa.array([reading * STRIDE + p for p in parts], pa.int32())
                     yield pa.record_batch({"part": numbers, "chunk": pa.array([chunk] * len(parts), pa.int64()), "data": pa.array(blobs, pa.binary())})
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
-        packed = [pickle.loads(zlib.decompress(d)) for d in group["data"]]
+        packed = [pickle.loads(zstandard.decompress(d)) for d in group["data"]]
         longest = merge([_unpacked(p) for p in packed])
         out = []
         for p, m in zip(packed, longest, strict=True):
-            out.append(zlib.compress(pickle.dumps((p[4], p[5], np.repeat(np.array(m, np.int32), p[3]))), 3))
-        return pd.DataFrame({"chunk": group["chunk"], "reading": group["part"] // STRIDE, "data": out})
+            out.append(zstandard.compress(pickle.dumps((p[4], p[5], np.repeat(np.array(m, np.int32), p[3]))), 1))
+        return pd.DataFrame({"chunk": group["chunk"], "reading": group["part"].astype("int64") // STRIDE, "data": out})
 
-    runs = docs.select("row", "chunk", "text").mapInArrow(run, "part long, chunk long, data binary")
-    return_to_chunks(runs.groupBy("part").applyInPandas(merged, "chunk long, reading long, data binary"), path, buckets)
+    runs = docs.select("row", "chunk", "text").mapInArrow(run, "part int, chunk long, data binary")
+    return_to_chunks(runs.repartitionById(buckets, F.col("part")).groupBy("part").applyInPandas(merged, "chunk long, reading long, data binary"), path, buckets)
 
 
 def _run(some: list[tuple[int, bytes, list[int]]], how: Reading) -> tuple[list[int], list[bytes]]:
@@ -370,7 +376,7 @@ def _run(some: list[tuple[int, bytes, list[int]]], how: Reading) -> tuple[list[i
             shared = prefix(last, text)
             slices[-1].append((text[shared:], shared, found[text]))
             last = text
-    return parts, [zlib.compress(pickle.dumps(_packed(s)), 3) for s in slices]
+    return parts, [zstandard.compress(pickle.dumps(_packed(s)), 1) for s in slices]
 
 
 def _packed(entries: list[tuple[bytes, int, list[tuple[int, int]]]]) -> tuple:
@@ -391,7 +397,7 @@ def _unpacked(packed: tuple) -> list[tuple[bytes, int, bool]]:
 def results(path: str, buckets: int, chunk: int, reading: int = 0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """row -> (places, longest repeats) of one chunk."""
     got = Chunks(path, buckets).load(chunk)
-    parts = [] if got is None else [pickle.loads(zlib.decompress(d)) for r, d in zip(got["reading"].to_pylist(), got["data"].to_pylist(), strict=True) if r == reading]
+    parts = [] if got is None else [pickle.loads(zstandard.decompress(d)) for r, d in zip(got["reading"].to_pylist(), got["data"].to_pylist(), strict=True) if r == reading]
     if not parts:
         return {}
     row, place, longest = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -414,10 +420,9 @@ def _marked(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def spans_of(raw: np.ndarray, ahead, behind, exact, params: SuffixParams) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the repeats of ``length`` or more that the sorts found for a document, and of its stretches of one byte."""
-    first, last = stretches(raw, params.length + 1)
-    starts, ends = [first], [last]
+def spans_of(ahead, behind, exact, params: SuffixParams) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the repeats of ``length`` or more that the sorts found for a document."""
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for found, backwards in ((ahead, False), (behind, True), (exact, False)):
         if found is not None:
             place, longest = (x[found[1] >= params.length] for x in found)
@@ -434,7 +439,7 @@ def owned(raw: np.ndarray, ahead, behind, hasher: Hasher, params: SuffixParams):
     repeat to the string's end and, with its gram, back to the string's start.
     """
     n = len(raw) - params.length + 1
-    a, z = spans_of(raw, ahead, behind, None, params)
+    a, z = spans_of(ahead, behind, None, params)
     known = _marked(n, a, z - params.length + 1)
     place, longest = ahead
     back = np.zeros(len(place), np.int64)
@@ -556,7 +561,11 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
                 if chunk != current:
                     current, held = chunk, [results(*x) for x in ((both_path, buckets, chunk, 0), (both_path, buckets, chunk, 1), (exact_path, buckets, chunk, 0))]
                 raw = (text or "").encode()
-                starts, ends = spans_of(np.frombuffer(raw, np.uint8), *(h.get(row) for h in held), params)
+                starts, ends = spans_of(*(h.get(row) for h in held), params)
+                if len(raw) > params.length:
+                    first, last = stretches(np.frombuffer(raw, np.uint8), params.length + 1)
+                    if len(first):
+                        starts, ends = np.concatenate([starts, first]), np.concatenate([ends, last])
                 if not len(starts):
                     out.append((doc_id, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), []))
                     continue
