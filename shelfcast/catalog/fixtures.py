@@ -111,13 +111,14 @@ def derive_daily(spark: SparkSession, sf_dir: str | BySupplier) -> DataFrame:
 
 def derive_stores(spark: SparkSession, sf_dir: str | BySupplier) -> DataFrame:
     n = F.col("n")
+    wide = n.cast("long")  # the square of an int key past 4,633 does not fit an int
     dated = n % 5 != 0
     member = n % 2 == 1
     return _store_keys(spark, sf_dir).select(
         n.alias("Store"),
         F.substring(F.lit("abcd"), n % 4 + 1, F.lit(1)).alias("StoreType"),
         F.substring(F.lit("abc"), n % 3 + 1, F.lit(1)).alias("Assortment"),
-        F.when(n % 8 != 3, (100 * (n * n + 1)).cast("double")).alias("CompetitionDistance"),
+        F.when(n % 8 != 3, (100 * (wide * wide + 1)).cast("double")).alias("CompetitionDistance"),
         F.when(dated, n % 12 + 1).alias("CompetitionOpenSinceMonth"),
         F.when(dated, n % 9 + 1993).alias("CompetitionOpenSinceYear"),
         (n % 2).alias("Promo2"),
