@@ -479,8 +479,9 @@ def _valid_panel(spark, sf_dir) -> DataFrame:
 
 @query
 def leakage_report(spark, sf_dir):
+    valid = panel.split_days("valid", SPEC)
     table = checks.leakage_report(
-        lambda rows: hist.add_history(rows, SPEC, promo=False),
+        lambda rows: hist.add_history(rows, SPEC, promo=False, wanted=valid),
         panel.complete_panel(fx.daily(spark, sf_dir)),
         SPEC.valid_start,
         _valid_rows(),

@@ -35,16 +35,19 @@ def leakage_report(
 
     ``rows`` picks the rows to compare. A column that differs read a sale it could not
     have known. The panel has to reach as far as a leak might: days that are cut off
-    are unknown in both builds. Both builds go through one pass: the blinded panel is a
-    second set of stores, numbered on from the first (their smallest and largest number come
-    to the driver), and a store is told apart by its number, which no feature reads.
+    are unknown in both builds. Both builds go through one pass over one panel: every store is
+    there twice, as an even number with its sales and as the odd one after it without those from
+    ``cutoff`` on, and a store is told apart by its number, which no feature reads.
     """
-    blind = panel.withColumn("Sales", F.when(F.col("Date") < F.lit(cutoff), F.col("Sales")))
-    low, high = panel.agg(F.min("Store"), F.max("Store")).first()
-    shift = 0 if low is None else high - low + 1
-    built = build(panel.unionByName(blind.withColumn("Store", F.col("Store") + F.lit(shift)))).where(rows)
-    is_blind = F.col("Store") > F.lit(high)
-    key = F.when(is_blind, F.col("Store") - F.lit(shift)).otherwise(F.col("Store"))
+    store = F.col("Store").cast("long") * 2
+    known = F.when(F.col("Date") < F.lit(cutoff), F.col("Sales"))
+    seen = F.struct(store.alias("Store"), F.col("Sales"))
+    blind = F.struct((store + 1).alias("Store"), known.alias("Sales"))
+    others = [c for c in panel.columns if c not in ("Store", "Sales")]
+    both = panel.select(*others, F.explode(F.array(seen, blind)).alias("_s")).select(*others, "_s.Store", "_s.Sales")
+    built = build(both).where(rows)
+    is_blind = F.col("Store").bitwiseAND(F.lit(1)) == 1
+    key = F.shiftright("Store", 1)
     own = [F.max(F.when(~is_blind, F.col(c).cast("double"))).alias(f"a_{c}") for c in columns]
     other = [F.max(F.when(is_blind, F.col(c).cast("double"))).alias(f"b_{c}") for c in columns]
     pairs = built.groupBy(key.alias("Store"), "Date").agg(*own, *other)

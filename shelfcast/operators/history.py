@@ -6,6 +6,8 @@ days whether or not the table has a row for each of them.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,20 +18,30 @@ from shelfcast.spec import PanelSpec
 CHUNK, DAY, HOME = "_chunk", "_day", "_home"
 
 
-def with_halo(df: DataFrame, span: int, back: int, ahead: int = 0) -> DataFrame:
+def with_halo(
+    df: DataFrame, span: int, back: int, ahead: int = 0, wanted: tuple[dt.date, dt.date] | None = None
+) -> DataFrame:
     """Cut every series into chunks of days, each with copies of the rows its frames reach.
 
     A row goes to its home chunk and to any chunk whose first days look back to it or
     whose last day looks ahead to it. Frames evaluated per (Store, chunk) are then
     exact for home rows, and a group never holds more than ``span + back + ahead``
-    days, however long or hot a store is.
+    days, however long or hot a store is. With ``wanted`` days only the chunks that those lie in
+    are made, each of them whole.
     """
     day = day_number(F.col("Date"))
+    kept = F.lit(True)
+    if wanted is not None:
+        low, high = ((d - dt.date(1970, 1, 1)).days // span for d in wanted)
+        kept = F.col(CHUNK).between(low, high)
+        start, end = low * span - back, (high + 1) * span - 1 + ahead
+        df = df.where(F.col("Date").between(*[F.lit(dt.date(1970, 1, 1) + dt.timedelta(days=n)) for n in (start, end)]))
     first = F.floor((day - ahead) / F.lit(span))
     last = F.floor((day + back) / F.lit(span))
     copies = (
         df.withColumn(DAY, day)
         .withColumn(CHUNK, F.explode(F.sequence(first, last)))
+        .where(kept)
         .withColumn(HOME, F.col(CHUNK) == F.floor(F.col(DAY) / F.lit(span)))
     )
     return copies.repartition("Store", CHUNK)
@@ -81,6 +93,11 @@ def _median(values: Column) -> Column:
     return F.transform(F.array(F.sort_array(values)), middle)[0]
 
 
+def _reaches(n: Column, least: int) -> Column:
+    """Whether ``n`` is ``least`` or more; by a lambda, for the sake of the projection, as in ``_median``."""
+    return F.transform(F.array(n), lambda n: n >= least)[0]
+
+
 def running_sums() -> Column:
     """Counts and sums of trading-day sales and of opening, from a chunk's first row on.
 
@@ -126,7 +143,7 @@ def sales_levels(spec: PanelSpec) -> dict[str, Column]:
     columns = {}
     for window in spec.roll_windows:
         n, total, squares = (between(window, part) for part in ("n", "sold", "squares"))
-        enough = n >= spec.min_count(window)
+        enough = _reaches(n, spec.min_count(window))
         mean = total / n
         columns[f"roll_mean_{window}"] = F.when(enough, mean)
         # Mostly a long; converting a decimal to a double is slow.
@@ -209,14 +226,22 @@ def sales_feature_names(spec: PanelSpec) -> list[str]:
 
 
 def add_history(
-    df: DataFrame, spec: PanelSpec, promo: bool = True, sales: bool = True
+    df: DataFrame,
+    spec: PanelSpec,
+    promo: bool = True,
+    sales: bool = True,
+    wanted: tuple[dt.date, dt.date] | None = None,
 ) -> DataFrame:
-    """Promotion and sales features of every row: one exchange, one sort."""
+    """Promotion and sales features of every row: one exchange, one sort.
+
+    With ``wanted``, a first and a last day, the rows of those days alone. A filter on days does not
+    move below a window; as frames never leave a chunk, other chunks need not be made for it.
+    """
     if not isinstance(df.schema["Sales"].dataType, T.IntegralType):
         raise TypeError("Sales must be whole numbers; hold fractions as cents")
     sold = F.when(F.col("Open") == 1, F.col("Sales"))
     out = with_halo(
-        df.withColumn("_sold", sold), spec.chunk_days, spec.look_back, spec.look_ahead
+        df.withColumn("_sold", sold), spec.chunk_days, spec.look_back, spec.look_ahead, wanted
     )
     windows = {}
     if promo:
@@ -225,6 +250,8 @@ def add_history(
         out = out.withColumn("_run", running_sums())
         windows |= sales_windows(spec)
     out = out.withColumns(windows).where(HOME)
+    if wanted is not None:
+        out = out.where(F.col("Date").between(*[F.lit(d) for d in wanted]))
     if promo:
         out = out.withColumns(promo_edges())
     if sales:
