@@ -31,13 +31,14 @@ from shelfcast.llm.tokens import by_bytes, byte_ranks
 class AlignmentParams:
     """``first`` is a byte-level vocabulary (``.tiktoken``), ``second`` a sentencepiece model.
 
-    ``block_bytes`` of text share one table of linked ids; a task remembers about ``remembered``
-    stretches between blocks.
+    ``block_bytes`` of text share one table of linked ids and are taken apart and encoded by
+    ``slice_bytes``; a task remembers about ``remembered`` stretches between blocks.
     """
 
     first: str = "byte_bpe_50k.tiktoken"
     second: str = "piece_bpe_32k.model"
     block_bytes: int = 8 << 20
+    slice_bytes: int = 1 << 19
     remembered: int = 300_000
 
 
@@ -189,9 +190,9 @@ class Aligner:
         new = dict.fromkeys(s for t in texts for s in t if s not in self.known)
         if new:
             self.learn(list(new))
-        return [np.fromiter(map(self.known.__getitem__, t), np.int64, len(t)) for t in texts]
+        return [np.fromiter(map(self.known.__getitem__, t), np.int32, len(t)) for t in texts]
 
-    def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str]]:
+    def taken(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str]]:
         """Stretch numbers and digest of the groups of each text; none for a text without tokens."""
         parts = [STRETCH.findall(" " + t) if t and "▁" not in t else [] for t in texts]
         codes = self.codes(parts)
@@ -217,10 +218,9 @@ BLOCK_TYPES = (
 )
 
 
-def _block_rows(aligner: Aligner, block: int, ids: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
+def _block_rows(aligner: Aligner, block: int, ids: list[int | None], codes: list[np.ndarray], digests: list[str]) -> pa.RecordBatch:
     """A row for each document, with its stretches, and one for the block's linked ids."""
-    codes, digests = aligner.block(texts)
-    used, inside = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_inverse=True)
+    used, inside = np.unique(np.concatenate([np.zeros(0, np.int32), *codes]), return_inverse=True)
     times = np.bincount(inside, minlength=len(used))
     sizes = aligner.firsts[used + 1] - aligner.firsts[used]
     pairs, members = np.unique(aligner.pairs[_ragged(aligner.firsts[used], sizes)], return_inverse=True)
@@ -239,6 +239,28 @@ def _block_rows(aligner: Aligner, block: int, ids: list[int | None], texts: list
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, BLOCKS, strict=True)], BLOCKS)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], number: int, params: AlignmentParams) -> Iterator[pa.RecordBatch]:
+    """The rows of the blocks of a task, which are counted from ``number``."""
+    aligner = Aligner(params)
+    ids, codes, digests, held = [], [], [], 0
+    for b in batches:
+        for start, rows in by_bytes(b.column("text"), params.slice_bytes):
+            part = b.slice(start, rows)
+            ids += part.column("doc_id").to_pylist()
+            texts = part.column("text").to_pylist()
+            held += sum(len(t or "") for t in texts)
+            # Of the texts only numbers and digests are kept until the block is full.
+            for kept, new in zip((codes, digests), aligner.taken(texts), strict=True):
+                kept += new
+            if held >= params.block_bytes:
+                yield _block_rows(aligner, number, ids, codes, digests)
+                number, ids, codes, digests, held = number + 1, [], [], [], 0
+                if len(aligner.known) > params.remembered:
+                    aligner.forget()
+    if ids:
+        yield _block_rows(aligner, number, ids, codes, digests)
+
+
 def aligned(docs: DataFrame, params: AlignmentParams = AlignmentParams()) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; one row for each document.
 
@@ -252,22 +274,7 @@ def aligned(docs: DataFrame, params: AlignmentParams = AlignmentParams()) -> Dat
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(params)
-        number = TaskContext.get().partitionId() << 32
-        ids, texts, held = [], [], 0
-        for b in batches:
-            for start, rows in by_bytes(b.column("text"), 1 << 20):
-                part = b.slice(start, rows)
-                ids += part.column("doc_id").to_pylist()
-                texts += part.column("text").to_pylist()
-                held += sum(len(t or "") for t in texts[-rows:])
-                if held >= params.block_bytes:
-                    yield _block_rows(aligner, number, ids, texts)
-                    number, ids, texts, held = number + 1, [], [], 0
-                    if len(aligner.known) > params.remembered:
-                        aligner.forget()
-        if ids:
-            yield _block_rows(aligner, number, ids, texts)
+        return _blocks(batches, TaskContext.get().partitionId() << 32, params)
 
     rows = stage(docs.select("doc_id", "text").mapInArrow(blocks, BLOCK_TYPES), "aligned")
     tables = rows.where("is_table").select("block", F.posexplode(F.arrays_zip("pairs", "n")).alias("at", "p"))

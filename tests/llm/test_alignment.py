@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -131,3 +132,18 @@ def test_a_long_text_without_cuts_or_blanks(spark, sides):
     groups, pairs = plain_alignment(a, b)
     assert (found[2].n_a, found[2].n_b, found[2].n_groups, found[2].n_links) == (len(a), len(b), len(groups), len(pairs))
     assert found[1].n_links == found[1].n_a + found[1].n_b - found[1].n_groups > 0
+
+
+def test_a_block_is_encoded_by_slices(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(100)) for _ in range(300)]
+    batch = pa.record_batch({"doc_id": pa.array(range(300), pa.int64()), "text": texts})
+    asked, learn = [], alignment.Aligner.learn
+    monkeypatch.setattr(alignment.Aligner, "learn", lambda self, new: (asked.append(sum(map(len, new))), learn(self, new)))
+
+    def rows(params):
+        return [b.to_pylist() for b in alignment._blocks(iter([batch]), 7, params)]
+
+    found = rows(alignment.AlignmentParams(slice_bytes=10_000))
+    assert len(found) == 1 and len(found[0]) == 301 and len(asked) > 20 and max(asked) <= 10_000 + 300
+    assert rows(alignment.AlignmentParams(slice_bytes=1 << 30)) == found
