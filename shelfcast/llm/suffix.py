@@ -42,7 +42,7 @@ class SuffixParams:
 
     length: int = 200
     gram: int = 100
-    chunk_bits: int = 12
+    chunk_bits: int = 13
     hashes_per_part: int = 1_000_000
     suffixes_per_part: int = 100_000
     sample_docs: int = 2_000
@@ -57,7 +57,7 @@ class SuffixParams:
 
     @property
     def reach(self) -> int:
-        """Bytes of a suffix that matter: past the next anchor by ``length``."""
+        """Bytes of a suffix that matter at most: past the next anchor by ``length``."""
         return self.length + self.window
 
 
@@ -243,8 +243,14 @@ def _by_chunk(batches: Iterator[pa.RecordBatch], params: SuffixParams) -> Iterat
         yield current, held
 
 
-def _parts_of(rows: list[tuple[int, bytes]], places: list[list[int]], most: int) -> Iterator[list[tuple[int, bytes, list[int]]]]:
-    """(row, bytes, places) in lists of ``most`` places at most."""
+def beside(places: np.ndarray) -> np.ndarray:
+    """(place, the one before, the one after) of ascending places; far away where there is none."""
+    far = np.array([1 << 40])
+    return np.stack([places, np.concatenate([-far, places])[:-1], np.concatenate([places, far])[1:]], 1)
+
+
+def _parts_of(rows: list[tuple[int, bytes]], places: list[np.ndarray], most: int) -> Iterator[list[tuple[int, bytes, np.ndarray]]]:
+    """(row, bytes, places with their neighbours) in lists of ``most`` places at most."""
     held, size = [], 0
     for (row, raw), here in zip(rows, places, strict=True):
         at = 0
@@ -316,13 +322,13 @@ def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Reading:
-    """What is compared at a place of a text, and the suffixes that begin the ranges.
+    """What is compared at a place of a text, given the places beside it, and the suffixes that begin the ranges.
 
     Such a suffix is sent to the range it ends too. So each suffix meets both its neighbours,
     wherever the order is cut: between any two strings, however much they share.
     """
 
-    cut: Callable[[bytes, int], bytes]
+    cut: Callable[[bytes, int, int, int], bytes]
     splitters: list[bytes]
 
 
@@ -340,7 +346,7 @@ def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, readings: lis
             ask, places = asked(chunk), []
             for row, raw in rows:
                 at, h, _ = ask(row, raw, np.frombuffer(raw, np.uint8))
-                places.append(np.unique(at[among(h, wanted)]).tolist())
+                places.append(beside(at)[among(h, wanted)])
             for some in _parts_of(rows, places, params.run_places):
                 for reading, how in enumerate(readings):
                     parts, blobs = _run(some, how)
@@ -348,7 +354,7 @@ def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, readings: lis
                     yield pa.record_batch({"part": numbers, "chunk": pa.array([chunk] * len(parts), pa.int64()), "data": pa.array(blobs, pa.binary())})
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
-        packed = [pickle.loads(zstandard.decompress(d)) for d in group["data"]]
+        packed = [_arrays(zstandard.decompress(d)) for d in group["data"]]
         longest = merge([_unpacked(p) for p in packed])
         out = []
         for p, m in zip(packed, longest, strict=True):
@@ -359,12 +365,12 @@ def sort(docs: DataFrame, hash_path: str, path: str, asked: Asked, readings: lis
     return_to_chunks(runs.repartitionById(buckets, F.col("part")).groupBy("part").applyInPandas(merged, "chunk long, reading long, data binary"), path, buckets)
 
 
-def _run(some: list[tuple[int, bytes, list[int]]], how: Reading) -> tuple[list[int], list[bytes]]:
+def _run(some: list[tuple[int, bytes, np.ndarray]], how: Reading) -> tuple[list[int], list[bytes]]:
     """The sorted suffixes of these places without repeats: ranges, and a front-coded slice for each."""
     found: dict[bytes, list[tuple[int, int]]] = {}
     for row, raw, here in some:
-        for p in here:
-            found.setdefault(how.cut(raw, p), []).append((row, p))
+        for p, before, after in here.tolist():
+            found.setdefault(how.cut(raw, p, before, after), []).append((row, p))
     parts, slices, last = [], [], b""
     for text in sorted(found):
         part = bisect.bisect_right(how.splitters, text)
@@ -376,18 +382,29 @@ def _run(some: list[tuple[int, bytes, list[int]]], how: Reading) -> tuple[list[i
             shared = prefix(last, text)
             slices[-1].append((text[shared:], shared, found[text]))
             last = text
-    return parts, [zstandard.compress(pickle.dumps(_packed(s)), 1) for s in slices]
+    return parts, [zstandard.compress(_packed(s), 3) for s in slices]
 
 
-def _packed(entries: list[tuple[bytes, int, list[tuple[int, int]]]]) -> tuple:
-    """A front-coded slice: rests joined, their lengths, shared prefixes, and rows and places of each suffix."""
+def _packed(entries: list[tuple[bytes, int, list[tuple[int, int]]]]) -> bytes:
+    """A front-coded slice: numbers of places and suffixes, rows and places of each, lengths of the rests, shared prefixes, rests joined."""
     held = [x for _, _, places in entries for x in places]
-    return (
-        b"".join(rest for rest, _, _ in entries), np.array([len(rest) for rest, _, _ in entries], np.int32), np.array([n for _, n, _ in entries], np.int32),
-        np.array([len(places) for _, _, places in entries], np.int32), np.array([r for r, _ in held], np.int64), np.array([p for _, p in held], np.int32),
+    return b"".join(
+        [
+            np.array([len(held), len(entries), *(r for r, _ in held)], np.int64).tobytes(), np.array([p for _, p in held], np.int32).tobytes(),
+            np.array([len(rest) for rest, _, _ in entries] + [n for _, n, _ in entries] + [len(places) for _, _, places in entries], np.int32).tobytes(),
+            *(rest for rest, _, _ in entries),
+        ]
     )
 
 
+def _arrays(packed: bytes) -> tuple:
+    """Rests, their lengths, shared prefixes, copies of each suffix, and their rows and places."""
+    held, n = np.frombuffer(packed, np.int64, 2).tolist()
+    at = 16 + 8 * held
+    places, lengths, shared, copies = np.split(np.frombuffer(packed, np.int32, held + 3 * n, at), [held, held + n, held + 2 * n])
+    return packed[at + 4 * (held + 3 * n) :], lengths, shared, copies, np.frombuffer(packed, np.int64, held, 16), places
+
+
 def _unpacked(packed: tuple) -> list[tuple[bytes, int, bool]]:
     rests, lengths, shared, copies, _, _ = packed
     ends = np.cumsum(lengths).tolist()
@@ -501,12 +518,13 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
 
         return ask
 
-    def ahead(raw: bytes, p: int) -> bytes:
-        return raw[p : p + params.reach]
+    # Strings that start behind the next anchor are that one's to find, and those that end before the last one's end its.
+    def ahead(raw: bytes, p: int, before: int, after: int) -> bytes:
+        return raw[p : min(p + params.reach, after + params.length)]
 
-    def behind(raw: bytes, p: int) -> bytes:
+    def behind(raw: bytes, p: int, before: int, after: int) -> bytes:
         end = p + params.gram
-        return raw[max(0, end - params.reach) : end][::-1]
+        return raw[max(0, end - params.reach, before + params.gram - params.length) : end][::-1]
 
     grams_path, both_path, open_path, strings_path, exact_path = (f"{root}/{n}" for n in ("grams", "both", "open", "strings", "exact"))
     count(kept, grams_path, at_anchors, False, parts, buckets, params)
@@ -551,7 +569,7 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
 
     count(kept, open_path, still_open, True, parts, buckets, params)
     count(kept, strings_path, open_strings, True, parts, buckets, params)
-    sort(kept, strings_path, exact_path, open_strings, [Reading(lambda raw, p: raw[p : p + params.length], forward)], buckets, params)
+    sort(kept, strings_path, exact_path, open_strings, [Reading(lambda raw, p, before, after: raw[p : p + params.length], forward)], buckets, params)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -600,9 +618,9 @@ def _splitters(kept: DataFrame, rows: int, total: int, hash_path: str, buckets:
             hashes, found = loaded(hash_path, buckets, chunk), [[] for _ in cuts]
             for row, raw in held:
                 places, h = anchors(np.frombuffer(raw, np.uint8), hasher, params)
-                for p in places[among(h, hashes)][row % step :: step].tolist():
+                for place in beside(places)[among(h, hashes)][row % step :: step].tolist():
                     for of, cut in zip(found, cuts, strict=True):
-                        of.append(cut(raw, p))
+                        of.append(cut(raw, *place))
             which = np.repeat(np.arange(len(cuts)), [len(f) for f in found])
             yield pa.record_batch({"reading": pa.array(which, pa.int64()), "suffix": pa.array([t for f in found for t in f], pa.binary())})
 

@@ -104,3 +104,19 @@ def test_merge_finds_the_longest_shared_prefix():
     for i, run in enumerate(runs):
         for t, n in zip(run, found[i], strict=True):
             assert n == max(suffix.prefix(t, o) for j, o in every if (j, o) != (i, t))
+
+
+def test_suffixes_end_with_the_strings_of_the_next_anchor(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    docs = spark.createDataFrame([(i, passage[:2500] if i % 2 else passage[400:]) for i in range(4)], "doc_id long, text string")
+    readings, sort = [], suffix.sort
+    monkeypatch.setattr(suffix, "sort", lambda *a: (readings.append(a[4]), sort(*a)))
+    found = {r.doc_id: r.removed for r in suffix.repeated_bytes(docs).collect()}
+    assert found == {0: [0, 2600], 1: [0, 2500], 2: [0, 2600], 3: [0, 2500]}
+    params, raw = suffix.SuffixParams(), passage.encode()
+    places = suffix.beside(suffix.anchors(np.frombuffer(raw, np.uint8), suffix.Hasher(), params)[0])[1:-1].tolist()
+    ahead, behind = ([how.cut(raw, *p) for p in places] for how in readings[0])
+    for (p, before, after), a, b in zip(places, ahead, behind, strict=True):
+        assert a == raw[p : after + params.length] and b[::-1] == raw[max(0, before + params.gram - params.length) : p + params.gram]
+    assert sum(map(len, ahead)) < 0.9 * params.reach * len(places) and suffix._arrays(suffix._packed([(b"ab", 3, [(1 << 40, 5), (2, 6)])]))[3].tolist() == [2]
