@@ -10,6 +10,9 @@ short that neither decides them are sorted the same way in a third.
 
 Before a sort, hashes of the strings that a repeat must hold are counted, so suffixes that
 nothing can equal are not sent. Hashes only rule out; every repeat is read off the order.
+
+Texts are dealt to chunks by their least hash, which texts that share much have in common: so
+a chunk has most copies of a suffix and sends it once, however many chunks there are.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import pickle
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,16 +28,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from shelfcast.llm.common import Chunks, bucket_count, chunked, return_to_chunks, rows_of, stage, table
+from shelfcast.llm.common import Chunks, bucket_count, return_to_chunks, rows_of, stage, table
 from shelfcast.sources.staging import stage_path
 
 
 @dataclass(frozen=True)
 class SuffixParams:
-    """Bytes of a repeat, bytes hashed at an anchor, rows of a chunk (a power of two), and sizes of what a task holds and merges.
+    """Bytes of a repeat, bytes hashed at an anchor, rows of a chunk (a power of two), sizes of what a task holds and merges, and rows of a part of the texts.
 
     Only the ranges between tasks are fitted on a sample, of ``sample_per_part`` suffixes for
     each of them, from ``sample_docs`` documents at least; they decide where a suffix is
@@ -49,6 +55,7 @@ class SuffixParams:
     sample_per_part: int = 32
     held_bytes: int = 1 << 25
     run_places: int = 1 << 19
+    rows_per_part: int = 6_000
 
     @property
     def window(self) -> int:
@@ -217,6 +224,60 @@ def merge(runs: list[list[tuple[bytes, int, bool]]]) -> list[list[int]]:
     return found
 
 
+def least_gram(raw: np.ndarray, hasher: Hasher, params: SuffixParams) -> int:
+    """The least hash of all grams of a text; -1 of a text too short to have one."""
+    starts = range(0, len(raw) - params.gram + 1, BLOCK)
+    return min((int(hasher.strings(raw[a : a + BLOCK + params.gram - 1], params.gram).min()) for a in starts), default=-1)
+
+
+#: Texts of one least hash that a task deals to its part, texts it deals together after them, and hashes it remembers.
+TOGETHER, LUMP, REMEMBERED = 8, 256, 1 << 17
+
+
+def by_likeness(docs: DataFrame, path: str, rows: int, total: int, params: SuffixParams) -> DataFrame:
+    """``docs`` written to ``path`` with a fixed row number and the chunk it falls in, alike texts side by side.
+
+    A text goes to the part of its least hash. Where a task meets more than ``TOGETHER`` texts of one
+    hash, the others go by lumps to any parts, so a large group of copies lies in no part alone.
+    Where a text lies decides what is sent and not what is found.
+    """
+    parts = max(1, rows // params.rows_per_part, total // params.held_bytes)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, met, task = Hasher(), Counter(), TaskContext.get().partitionId()
+        for b in (b for b in batches if b.num_rows):
+            keys, to = [], []
+            for (text,) in rows_of([b], "text"):
+                key = least_gram(np.frombuffer((text or "").encode(), np.uint8), hasher, params)
+                if len(met) > REMEMBERED:
+                    met.clear()
+                n = met[key]
+                met[key] += 1
+                keys.append(key)
+                to.append(hash((key,) if n < TOGETHER else (key, task, n // LUMP)) % parts)
+            keyed = pa.record_batch([pa.array(keys, pa.int64()), *b.columns], ["key", *b.schema.names])
+            order = np.argsort(to, kind="stable")
+            used, first = np.unique(np.array(to)[order], return_index=True)
+            blobs = []
+            for some in np.split(order, first[1:]):
+                packed = pa.BufferOutputStream()
+                with pa.ipc.new_stream(packed, keyed.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                    out.write_batch(keyed.take(pa.array(some)))
+                blobs.append(packed.getvalue().to_pybytes())
+            yield pa.record_batch({"part": pa.array(used, pa.int32()), "data": pa.array(blobs, pa.binary())})
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column("data"):
+                yield from pa.ipc.open_stream(data.as_buffer())
+
+    dealt = docs.mapInArrow(deal, "part int, data binary").repartitionById(parts, F.col("part")).select("data")
+    found = dealt.mapInArrow(unpacked, StructType([StructField("key", LongType()), *docs.schema.fields])).sortWithinPartitions("key").drop("key")
+    kept = found.withColumn("row", F.monotonically_increasing_id()).withColumn("chunk", F.shiftright("row", params.chunk_bits))
+    kept.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(kept.schema).parquet(path)
+
+
 # What a task asks about one document (row, bytes, values): places, hashes there, and marks.
 Ask = Callable[[int, bytes, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 # Makes an Ask for a chunk, inside a task.
@@ -503,9 +564,10 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     """
     spark = docs.sparkSession
     root = stage_path(spark, "suffixes")
-    kept = chunked(docs.select("doc_id", "text"), f"{root}/docs", params.chunk_bits)
-    size = kept.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+    docs = docs.select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     total, rows = size["bytes"] or 0, max(1, size["n"])
+    kept = by_likeness(docs, f"{root}/docs", rows, total, params)
     buckets = bucket_count(spark, total)
     parts = min(1 << 15, max(1, round(total * 2 / (params.window + 1) / params.hashes_per_part)))
 

@@ -120,3 +120,19 @@ def test_suffixes_end_with_the_strings_of_the_next_anchor(spark, monkeypatch):
     for (p, before, after), a, b in zip(places, ahead, behind, strict=True):
         assert a == raw[p : after + params.length] and b[::-1] == raw[max(0, before + params.gram - params.length) : p + params.gram]
     assert sum(map(len, ahead)) < 0.9 * params.reach * len(places) and suffix._arrays(suffix._packed([(b"ab", 3, [(1 << 40, 5), (2, 6)])]))[3].tolist() == [2]
+
+
+def test_copies_come_to_one_chunk_and_large_groups_are_spread(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(400))
+    firsts = [text() for _ in range(60)]
+    docs = [(i * 4 + k, t) for k in range(4) for i, t in enumerate(firsts)] + [(1000 + i, None if i % 2 else "same " * 60) for i in range(1200)]
+    params = suffix.SuffixParams(chunk_bits=10, rows_per_part=100)
+    kept = suffix.by_likeness(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), f"file://{tmp_path}/docs", len(docs), 0, params)
+    rows = kept.collect()
+    assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((i, t or "") for i, t in docs) and len({r.row for r in rows}) == len(docs)
+    chunks = {}
+    for r in rows:
+        chunks.setdefault(r.text, set()).add(r.chunk)
+    assert all(len(chunks[t]) == 1 for t in firsts) and len({c for t in firsts for c in chunks[t]}) > 5
+    assert len(chunks["same " * 60]) > 1 and len(chunks[None]) > 1
