@@ -15,8 +15,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,23 +189,41 @@ def _one_tree(settings: TreeSettings, round_: int) -> RandomForestRegressor:
     )
 
 
-def _after(rows: DataFrame, trees: list[Tree], rate: float) -> tuple[DataFrame, list[Column], list[Column]]:
-    """``rows`` with the trees' values, and for each tree its value and what is left before and after it."""
-    valued = rows.withColumn("said", tree_values(vector_to_array("features"), trees))
-    said = [F.get("said", F.lit(k)) for k in range(len(trees))]
-    left = [F.col("residual")]
+def _gains_and_errors(valued: DataFrame, n: int, rate: float) -> tuple[list[float], list[float]]:
+    """For each of ``n`` trees the squared error it takes off at full weight, and the mean square after it.
+
+    ``valued`` has what is left before the first tree (``before``) and what each tree says (``said``).
+    """
+    said = [F.get("said", F.lit(k)) for k in range(n)]
+    left = [F.col("before")]
     for value in said:
         left.append(left[-1] - F.lit(rate) * value)
-    return valued, said, left
-
-
-def _gains_and_errors(rows: DataFrame, trees: list[Tree], rate: float) -> tuple[list[float], list[float]]:
-    """For each tree the squared error it takes off at full weight, and the mean square after it."""
-    valued, said, left = _after(rows, trees, rate)
     gains = [F.sum(2 * r * v - v * v).alias(f"gain_{k}") for k, (v, r) in enumerate(zip(said, left, strict=False))]
     errors = [F.avg(r * r).alias(f"error_{k}") for k, r in enumerate(left[1:])]
     row = valued.agg(*gains, *errors).first()
-    return list(row[: len(trees)]), list(row[len(trees) :])
+    return list(row[:n]), list(row[n:])
+
+
+def _opened(rows: DataFrame) -> DataFrame:
+    """``rows`` (features, residual) at the start of a block, whose trees have said nothing yet."""
+    nothing = F.array().cast("array<double>")
+    return rows.select("features", F.col("residual").alias("before"), nothing.alias("said"), "residual")
+
+
+def _taken_off(rows: DataFrame, model: RandomForestRegressionModel, rate: float) -> DataFrame:
+    """``rows`` after one more tree, whose values the library's own model gives."""
+    value = F.col("prediction")
+    said = F.concat("said", F.array(value)).alias("said")
+    return model.transform(rows).select("features", "before", said, (F.col("residual") - F.lit(rate) * value).alias("residual"))
+
+
+def _dense(rows: DataFrame) -> DataFrame:
+    """``rows`` (features, label) with vectors that hold all places, in which a tree finds a place at once.
+
+    In a vector of few places each look at one is a search, and a round looks at every place of every row.
+    """
+    whole = array_to_vector(vector_to_array("features"))
+    return rows.select(whole.alias("features", metadata=rows.schema["features"].metadata), "label")
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -222,7 +240,7 @@ def grow(train: DataFrame, settings: TreeSettings, valid: DataFrame | None = Non
     of each round.
     """
     rate, most = settings.learning_rate, settings.rounds if rounds is None else rounds
-    rows = _spread(checkpoint(train.select("features", "label")))
+    rows = _dense(_spread(checkpoint(train.select("features", "label"))))
     start = rows.agg(F.avg("label")).first()[0] or 0.0
     left_over = (F.col("label") - F.lit(start)).alias("residual")
     rows = rows.select("features", left_over).persist(KEPT)
@@ -232,26 +250,24 @@ def grow(train: DataFrame, settings: TreeSettings, valid: DataFrame | None = Non
     train_errors, valid_errors, ended = [], [], False
     while len(trees) < most and not ended:
         block: list[Tree] = []
-        now = before = rows
+        now = before = _opened(rows)
         for round_ in range(len(trees), min(len(trees) + settings.block, most)):
             model = _one_tree(settings, round_).fit(now)
-            if before is not rows:
-                before.unpersist()
-            grown = described_trees(model.toDebugString)
+            before.unpersist()
+            block += described_trees(model.toDebugString)
             shares.append(model.featureImportances.toArray().tolist())
-            block += grown
-            residual = added(F.col("residual"), vector_to_array("features"), grown, -rate)
-            before, now = now, now.withColumn("residual", residual).persist(KEPT)
-        gains, errors = _gains_and_errors(rows, block, rate)
+            before, now = now, _taken_off(now, model, rate).persist(KEPT)
+        gains, errors = _gains_and_errors(now, len(block), rate)
         shares[len(trees) :] = [(gain, share) for gain, share in zip(gains, shares[len(trees) :], strict=True)]
         train_errors += errors
         trees += block
         if held_out is not None:
-            valid_errors += _gains_and_errors(held_out, block, rate)[1]
+            seen = held_out.select(F.col("residual").alias("before"), tree_values(vector_to_array("features"), block).alias("said"))
+            valid_errors += _gains_and_errors(seen, len(block), rate)[1]
             ended = best_round(valid_errors, settings.patience)[1]
         held = [rows, before, now]
         if len(trees) < most and not ended:
-            rows = checkpoint(now).persist(KEPT)
+            rows = checkpoint(now.select("features", "residual")).persist(KEPT)
             if held_out is not None:
                 residual = added(F.col("residual"), vector_to_array("features"), block, -rate)
                 held_out = checkpoint(held_out.withColumn("residual", residual))

@@ -6,7 +6,8 @@ from dataclasses import replace
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.linalg import DenseVector, SparseVector, Vectors, VectorUDT
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from shelfcast.plans import boosting
@@ -53,6 +54,36 @@ def test_the_size_of_a_block_changes_nothing(halves):
     assert fits[0].gains == pytest.approx(fits[1].gains)
 
 
+def test_a_round_reads_whole_vectors_and_walks_no_tree_by_hand(rows, monkeypatch):
+    def sparse(v):
+        return Vectors.sparse(len(v), {i: x for i, x in enumerate(v.toArray().tolist()) if x})
+
+    meta = rows.schema["features"].metadata
+    dealt = rows.select("features", "label").repartition(8).cache()
+    thin = dealt.select(F.udf(sparse, VectorUDT())("features").alias("features", metadata=meta), "label")
+    assert all(isinstance(r["features"], SparseVector) for r in thin.collect())
+    seen, fit = [], RandomForestRegressor.fit
+
+    def watched(self, df, *more):
+        seen.append(df)
+        kinds.update(type(r["features"]) for r in df.select("features").take(50))
+        assert df.schema["features"].metadata == meta
+        plans.append(df._jdf.queryExecution().logical().toString())
+        return fit(self, df, *more)
+
+    kinds, plans = set(), []
+    monkeypatch.setattr(RandomForestRegressor, "fit", watched)
+    grown = boosting.grow(thin, SETTINGS, rounds=6)
+    assert len(seen) == 6 and kinds == {DenseVector}
+    assert not any("from_json" in p for p in plans)
+    monkeypatch.setattr(RandomForestRegressor, "fit", fit)
+    whole = boosting.grow(dealt, SETTINGS, rounds=6)
+    assert grown.trees == whole.trees and grown.gains == pytest.approx(whole.gains)
+    # What the library's model takes off in growth is what the node table's walk takes off.
+    left = dealt.select(F.avg((F.col("label") - whole.score(vector_to_array("features"))) ** 2)).first()[0]
+    assert left**0.5 == pytest.approx(whole.train_errors[-1], abs=1e-12)
+
+
 def test_growth_ends_at_the_least_error_and_learns(halves):
     train, valid = halves
     fitted = boosting.grow(train, SETTINGS, valid)
